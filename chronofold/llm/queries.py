@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronofold.llm.packing import op8_best_fit
+from chronofold.llm.records import op4_token_records
 from chronofold.llm.simhash import op3_simhash_golay
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_golay": op3_simhash_golay}
+    return {"op3_simhash_golay": op3_simhash_golay, "op4_token_records": op4_token_records, "op8_best_fit": op8_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
