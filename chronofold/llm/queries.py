@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import hnsw, htmltext, topk
+from chronofold.llm import hnsw, htmltext, quality, topk
 from chronofold.llm.packing import op8_best_fit
 from chronofold.llm.records import op4_token_records
 from chronofold.llm.simhash import op3_simhash_golay
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ball_tree": topk.op2_ball_tree, "op3_simhash_golay": op3_simhash_golay, "op4_token_records": op4_token_records, "op5_tag_paths": htmltext.op5_tag_paths, "op7_hnsw": hnsw.op7_hnsw, "op8_best_fit": op8_best_fit}
+    return {"op1_importance_resampling": quality.op1_importance_resampling, "op2_ball_tree": topk.op2_ball_tree, "op3_simhash_golay": op3_simhash_golay, "op4_token_records": op4_token_records, "op5_tag_paths": htmltext.op5_tag_paths, "op7_hnsw": hnsw.op7_hnsw, "op8_best_fit": op8_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ball_tree": topk.ORACLE_SQL, "op5_tag_paths": htmltext.op5_tag_paths, "op7_hnsw": hnsw.ORACLE_SQL}
+    return {"op1_importance_resampling": quality.op1_importance_resampling, "op2_ball_tree": topk.ORACLE_SQL, "op5_tag_paths": htmltext.op5_tag_paths, "op7_hnsw": hnsw.ORACLE_SQL}
