@@ -218,6 +218,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
+    """``docs`` with one document of each group: that with the smallest id.
+
+    Rows with a null id all stay; rows that repeat the kept id stay together.
+    """
+    found = near_duplicates(spark, docs, id_col, text_col, words, bits).where("doc_id <> component_id").select("doc_id").distinct()
+    found = found.withColumnRenamed("doc_id", "__gone")
+    return docs.join(found, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
