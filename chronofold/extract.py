@@ -12,21 +12,22 @@ from pyspark.sql import types as T
 
 from chronofold import config
 from chronofold.functions.numeric import nan
+from chronofold.functions.ship import ship_package
 from chronofold.operators.calendar import window_keys
 from chronofold.plans.features import FEATURES, NULLABLE, RANKED, Build
 from chronofold.settings import ExtractionSettings, FeatureSetting
 
 
-def extract_features(df: DataFrame, settings: ExtractionSettings, streaming: bool = False) -> DataFrame:
+def extract_features(df: DataFrame, settings: ExtractionSettings, streaming: bool = False, features: dict[str, list[dict]] | None = None) -> DataFrame:
     """Grouping columns, the window's start (if any), ``length`` and the features of ``settings``.
 
     Lazy: nothing runs before an action on the result. Nulls are left out of
     their own series, each value column for itself; groups without a value stay,
     with NaN (or null for median, quantile and
     variance_larger_than_standard_deviation). ``streaming`` is accepted and has
-    no effect.
+    no effect. ``features`` (parameter sets by name) takes the place of a file.
     """
-    chosen = config.load(settings.config_path)
+    chosen = config.load(settings.config_path) if features is None else features
     names = list(config.MINIMAL)
     if settings.feature_setting is not FeatureSetting.Minimal:
         names += config.EFFICIENT
@@ -154,6 +155,7 @@ def sample_entropy(x: np.ndarray, m: int = 2, ratio: float = 0.2, block: int = 5
 
 def _entropy(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
     """Quadratic in a group's length, so one task takes a group in blocks of rows; nulls count as NaN."""
+    ship_package(df.sparkSession)
     named = [F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)]
     sorting = [f"__o{k}" for k in range(len(order))]
     rows = df.select(*named, *(F.col(f"`{c}`").alias(o) for c, o in zip(order, sorting)), *(F.col(f"`{c}`").cast("double").alias(f"__v{k}") for k, c in enumerate(values)))
