@@ -11,12 +11,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.functions.ship import ship_package
+
+__all__ = ["Scratch", "components", "delete_path", "shared_dir", "ship_package", "table"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is set."""
@@ -38,20 +40,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python once per application."""
-    sc = spark.sparkContext
-    name = "chronofold-shipped.zip"
-    if any(f.endswith(name) for f in sc.listFiles):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="chronofold-")) / name  # the driver serves it; executors copy it from there
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
-
-
 class Scratch:
     """Written intermediate tables of one operator call, below the shared folder."""
 
