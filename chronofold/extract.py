@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold import config
+from chronofold.functions import text
 from chronofold.functions.numeric import nan
 from chronofold.functions.ship import ship_package
 from chronofold.operators.calendar import window_keys
@@ -60,24 +61,25 @@ def extract_features(df: DataFrame, settings: ExtractionSettings, streaming: boo
     builds = [Build(k, c, partition, list(ordering.values()), ranked) for k, c in enumerate(settings.value_cols)]
 
     outputs: list[Column] = []
+    undefined = text.nan()
     taken: set[str] = set()
 
-    def add(name: str, column: Column) -> None:
+    def add(name: str, value: text.Text) -> None:
         if name in taken:
             raise ValueError(f"two features have the name {name}: their parameters differ by less than the name shows")
         taken.add(name)
-        outputs.append(column.alias(name))
+        outputs.append(F.expr(value.sql).alias(name))
 
     if "length" in wanted:
-        add("length", F.coalesce(builds[0].n(), F.lit(0)).cast("long"))
+        add("length", text.coalesce(builds[0].n(), 0).cast("long"))
     for part in (config.MINIMAL, config.EFFICIENT):
         for b, value in zip(builds, settings.value_cols):
             for n in part:
                 if n in wanted and n != "length":
                     for suffix, column in FEATURES[n](b, wanted[n]):
-                        some = F.when(b.n() > 0, column)
-                        add(f"{value}__{suffix}", (some if n in NULLABLE else F.coalesce(some, nan())).cast("double"))
-    aggregates = [c.alias(n) for b in builds for n, c in b.aggregates.items()]
+                        there = text.when(b.some(), column)
+                        add(f"{value}__{suffix}", there if n in NULLABLE else text.coalesce(there, undefined))
+    aggregates = [F.expr(c.sql).alias(n) for b in builds for n, c in b.aggregates.items()]
     base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
     if any(b.series for b in builds):
         base = _joined(base, _series(df, keys, settings.value_cols, ordering, partition, builds), keys)
@@ -111,15 +113,15 @@ def _series(df: DataFrame, keys: list[str], values: list[str], ordering: dict[st
     # one exchange: every window and the aggregation below are partitioned by the group or finer
     rows = rows.repartition(*partition) if partition else rows
     need = {stage: {} for stage in builds[0].rows}
-    made: dict[str, Column] = {}
+    made: dict[str, text.Text] = {}
     for b in builds:
         for stage, columns in b.rows.items():
             need[stage] |= columns
         made |= b.series
     for columns in need.values():
         if columns:
-            rows = rows.withColumns(columns)
-    struct = rows.groupBy(*partition).agg(*(c.alias(n) for n, c in made.items()))
+            rows = rows.select("*", *(F.expr(c.sql).alias(n) for n, c in columns.items()))
+    struct = rows.groupBy(*partition).agg(*(F.expr(c.sql).alias(n) for n, c in made.items()))
     if len(values) == 1:
         return struct.select(*(f"__k{k}" for k in range(len(keys))), F.struct(*made).alias("s0"))
     wide = [F.first(F.when(F.col("__c") == k, F.struct(*made)), ignorenulls=True).alias(f"s{k}") for k in range(len(values))]
