@@ -76,7 +76,7 @@ def _checked(name: str, section: dict) -> list[dict]:
     kinds = PARAMETERS[name][0]
     out = []
     for p in given:
-        if p.keys() < kinds.keys():
+        if not kinds.keys() <= p.keys():
             raise ValueError(f"[{name}] needs {', '.join(kinds)}, not {p}")
         p = {k: float(p[k]) if isinstance(kinds[k], float) else p[k] for k in kinds}
         for k, v in p.items():
