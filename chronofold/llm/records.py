@@ -4,7 +4,8 @@ File format (version 1), one file per shard, shards in ascending document order:
 
     frame   = length  u64 LE | masked crc32 of those 8 bytes u32 LE
             | payload        | masked crc32 of the payload   u32 LE | 0x0A
-    payload = flag u8 (1: the document has an id) | doc_id i64 LE | ids, u32 LE each
+    payload = flag u8 (1: the document has an id) | width u8 | doc_id i64 LE
+            | ids, unsigned LE, of 2 bytes each where the vocabulary allows it, else 4
 
 A checksum is masked (rotated right by 15 bits, plus a constant) so that the
 checksum of a file that holds checksums stays meaningful. The index is a Parquet
@@ -23,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import Scratch, table
 from chronofold.llm.tokens import encoder
 
-HEAD, PAYLOAD_HEAD, CRC = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<I")
+HEAD, PAYLOAD_HEAD, CRC = struct.Struct("<QI"), struct.Struct("<BBq"), struct.Struct("<I")
 END = b"\n"
 
 
@@ -39,15 +41,17 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One record without the final line feed, which the writer adds."""
-    payload = PAYLOAD_HEAD.pack(doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """One record of 4-byte ids, kept in ``width`` bytes each, without the final line feed, which the writer adds."""
+    if width == 2:
+        ids = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+    payload = PAYLOAD_HEAD.pack(doc_id is not None, width, doc_id or 0) + ids
     size = struct.pack("<Q", len(payload))
     return size + CRC.pack(masked_crc(size)) + payload + CRC.pack(masked_crc(payload))
 
 
-def read_frame(data: bytes | memoryview, at: int) -> tuple[int | None, memoryview, int]:
-    """(doc_id, ids, place of the next frame); raises ValueError where a checksum or a length is wrong."""
+def read_frame(data: bytes | memoryview, at: int) -> tuple[int | None, bytes, int]:
+    """(doc_id, ids of 4 bytes each, place of the next frame); raises ValueError where a checksum or a length is wrong."""
     view = memoryview(data)
     if at + HEAD.size > len(view):
         raise ValueError(f"record at {at}: the file ends in its head")
@@ -61,8 +65,9 @@ def read_frame(data: bytes | memoryview, at: int) -> tuple[int | None, memoryvie
     payload = view[begin:end]
     if masked_crc(payload) != CRC.unpack_from(view, end)[0] or view[end + 4 : end + 5] != END:
         raise ValueError(f"record at {at}: its content is damaged")
-    known, doc_id = PAYLOAD_HEAD.unpack_from(payload)
-    return doc_id if known else None, payload[PAYLOAD_HEAD.size :], end + CRC.size + len(END)
+    known, width, doc_id = PAYLOAD_HEAD.unpack_from(payload)
+    ids = np.frombuffer(payload[PAYLOAD_HEAD.size :], dtype=f"<u{width}").astype("<u4").tobytes()
+    return doc_id if known else None, ids, end + CRC.size + len(END)
 
 
 def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int | None, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -78,11 +83,12 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        width = 2 if max(enc.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                out = [frame(d, enc.encode(t or "") + end) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                out = [frame(d, enc.encode(t or "") + end, width) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -111,27 +117,50 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, shard, start, n_tokens, ids) by way of the index; every checksum is verified."""
-    index = spark.read.parquet(f"{path}/index")
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    """(doc_id, shard, start, n_tokens, ids) of all records; every checksum is verified.
+
+    A whole read goes through the files in order, where they lie; only the number
+    of tokens in each shard comes from the index.
+    """
+    totals = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     # one row per shard, so this window over all of them stays small
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    # an index entry list is as long as its shard, whose size is bounded
-    lists = index.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("offset", "tokens_before"))).alias("places")).join(bases, "shard")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, content, places, base in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
                 data = memoryview(content.as_buffer())
-                for k in range(0, len(places), 512):
+                at = before = 0
+                while at < len(data):
                     rows = []
-                    for place in places[k : k + 512]:
-                        doc_id, ids, _ = read_frame(data, place["offset"])
-                        rows.append((doc_id, shard, base + place["tokens_before"], len(ids) // 4, bytes(ids)))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]), pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "shard", "start", "n_tokens", "ids"])
+                    while at < len(data) and len(rows) < 512:
+                        doc_id, ids, at = read_frame(data, at)
+                        rows.append((doc_id, shard, before, len(ids) // 4, ids))
+                        before += len(ids) // 4
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]), pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "shard", "before", "n_tokens", "ids"])
+
+    read = _files(spark, path).mapInArrow(fetch, "doc_id long, shard long, before long, n_tokens long, ids binary")
+    # the query's digests are taken before the join, so that the ids themselves are not moved for them
+    return read.withColumn("ids_crc32", F.crc32("ids")).join(bases, "shard").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
+
+
+def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents in ``wanted(doc_id)``, by their places in the index.
+
+    For shuffled reads of a part of the corpus: only the shards that hold such a
+    document are opened, and only its frame is decoded.
+    """
+    index = spark.read.parquet(f"{path}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    lists = index.groupBy("shard").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # as long as a shard at most
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, offsets in zip(b.column(0), b.column(1).to_pylist()):
+                data = memoryview(content.as_buffer())
+                rows = [read_frame(data, at)[:2] for at in offsets]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) // 4 for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    joined = _files(spark, path).join(lists, "shard").select("shard", "content", "places", "base")
-    return joined.mapInArrow(fetch, "doc_id long, shard long, start long, n_tokens long, ids binary")
+    return _files(spark, path).join(lists, "shard").select("content", "offsets").mapInArrow(fetch, "doc_id long, n_tokens long, ids binary")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,4 +169,4 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "records")
     path = scratch.path("tokens")
     write_records(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard")
+    return read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
