@@ -14,6 +14,12 @@ Keys with up to ``bucket`` fingerprints are verified in one task, which returns
 spanning forest of the verified links. Fingerprints in a larger key take the
 exact way for any size: each is listed under every mask of two erased bits
 (2016 of them); the fingerprints under one mask are at most four, all linked.
+
+Documents that are merely similar differ in more bits. For them ``similar`` takes
+two fingerprints of 64 bits and keys of two Golay codewords each, of any two of a
+fingerprint's three segments: up to five errors in a fingerprint leave two
+segments with at most two errors, so such pairs always meet, and pairs with more
+errors often do. They link by the share of equal bits in both fingerprints.
 """
 
 from __future__ import annotations
@@ -93,25 +99,37 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash by majority over the XXH64 (seed 42) of word shingles; 0 for no words."""
+def _shingles(text: str | None, words: int) -> list[bytes]:
+    """Space-joined shingles of A-Z lower-cased words, with repeats; the whole sequence where it is shorter."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-        starts = [0, *(gaps[: len(parts) - words] + 1).tolist()]
-        ends = [*gaps[words - 1 :].tolist(), len(joined)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends)]
-    h = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, dtype=np.int64)
+        return [joined] if parts else []
+    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+    starts = [0, *(gaps[: len(parts) - words] + 1).tolist()]
+    ends = [*gaps[words - 1 :].tolist(), len(joined)]
+    return [joined[a:b] for a, b in zip(starts, ends)]
+
+
+def _majority(digests: bytes, width: int) -> bytes:
+    """Bits set in over half of the digests, of ``width`` bytes each."""
+    h = np.frombuffer(digests, dtype=np.uint8).reshape(-1, width)
+    ones = np.zeros(8 * width, dtype=np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash by majority over the XXH64 (seed 42) of word shingles; 0 for no words."""
+    digest = xxhash.xxh64_digest
+    return int.from_bytes(_majority(b"".join([digest(s, 42) for s in _shingles(text, words)]), 8), "big")
+
+
+def fingerprint_pair(text: str | None, words: int = 5) -> bytes:
+    """SimHash of 128 bits (XXH3, seed 42): two fingerprints of 64."""
+    digest = xxhash.xxh3_128_digest
+    return _majority(b"".join([digest(s, 42) for s in _shingles(text, words)]), 16)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -196,6 +214,18 @@ def links(spark: SparkSession, reps: DataFrame, scratch: Scratch, bits: int = 2,
     return near.union(wide).distinct()
 
 
+def _classes(spark: SparkSession, fps: DataFrame, prints: list[str], reps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fps`` with ``component_id``: the smallest id that links reach; null where the id is."""
+    # an id that is repeated with other texts stands for several fingerprints: these become one node, which is right for reachability
+    first, last = F.min(F.struct(*prints)), F.max(F.struct(*prints))
+    same = fps.where("doc_id is not null").groupBy("doc_id").agg(first.alias("a"), last.alias("b")).where("a <> b").select("doc_id")
+    own = fps.join(same, "doc_id", "left_semi").join(reps, prints).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(spark, edges.union(own), scratch)
+    by_print = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("root", "rep").alias("component_id"))
+    out = fps.join(by_print, prints, "left")
+    return out.select("doc_id", *prints, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, bucket: int = 1024) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``.
 
@@ -208,24 +238,114 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     scratch = Scratch(spark, "simhash")
     fps = scratch.save(fingerprints(docs, id_col, text_col, words), "fps")
     reps = scratch.save(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    # an id that is repeated with other texts stands for several fingerprints: these become one node each way, which is right for reachability
-    same = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
-    own = fps.join(same, "doc_id", "left_semi").join(reps, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    roots = components(spark, links(spark, reps, scratch, bits, bucket).union(own), scratch)
-    scratch.drop("keys", "key-sizes")
-    by_fp = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = fps.join(by_fp, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _classes(spark, fps, ["fp"], reps, links(spark, reps, scratch, bits, bucket), scratch)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row index, key) for fingerprints (n, 2): two codewords, of two segments of one of the fingerprints."""
+    rows, keys = [], []
+    for which in range(prints.shape[1]):
+        near = [codewords_near(((prints[:, which] >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64)) for s, w in SEGMENTS]
+        once = [np.concatenate([np.ones((len(c), 1), bool), c[:, 1:] != c[:, :1]], axis=1) for c in near]
+        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+            both = (near[i][:, :, None] << 12) | near[j][:, None, :] | (np.int64(3 * which + k) << 24)
+            valid = once[i][:, :, None] & once[j][:, None, :]
+            r, _, _ = np.nonzero(valid)
+            rows.append(r)
+            keys.append(both[valid])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _close_pairs(key: np.ndarray, rep: np.ndarray, prints: np.ndarray, most: int) -> list[np.ndarray]:
+    """Links within the runs of equal keys of sorted arrays; long runs give a spanning forest."""
+    border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(border)
+    out = []
+    for k in np.flatnonzero(size > 64):
+        a, b = border[k], border[k + 1]
+        todo = np.ones(b - a, bool)
+        p, r = prints[a:b], rep[a:b]
+        for seed in range(b - a):
+            if not todo[seed]:
+                continue
+            todo[seed] = False
+            front = [seed]
+            while front and todo.any():
+                f = front.pop()
+                rest = np.flatnonzero(todo)
+                hit = rest[np.bitwise_count(p[rest] ^ p[f]).sum(axis=1) <= most]
+                if len(hit):
+                    out.append(np.stack([np.full(len(hit), r[f]), r[hit]], axis=1))
+                    todo[hit] = False
+                    front += hit.tolist()
+    small = np.repeat(size <= 64, size)
+    left = np.repeat(border[1:], size) - np.arange(len(key))  # rows of the run from each row on
+    at = np.flatnonzero(small & (left > 1))
+    shift = 1
+    while len(at):
+        close = at[np.bitwise_count(prints[at] ^ prints[at + shift]).sum(axis=1) <= most]
+        if len(close):
+            out.append(np.stack([rep[close], rep[close + shift]], axis=1))
+        shift += 1
+        at = at[left[at] > shift]
+    return out
+
+
+def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, p0, p1, component_id): documents whose two fingerprints agree in at least ``similarity`` of their bits link.
+
+    Defined results as for ``near_duplicates``.
+    """
+    scratch = Scratch(spark, "similar")
+    most = int(128 * (1 - similarity) + 1e-9)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.frombuffer(b"".join([fingerprint_pair(t, words) for t in b.column(1).to_pylist()]), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["doc_id", "p0", "p1"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                rep, p0, p1 = (part.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                rows, keys = pair_keys(np.stack([p0, p1], axis=1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[rows]), pa.array(p0[rows]), pa.array(p1[rows])], names=["key", "rep", "p0", "p1"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found:
+                e = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(4)], axis=1)
+            now = now if kept is None else np.concatenate([kept, now])
+            cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last key may go on
+            kept = now[cut:]
+            if cut:
+                yield from out(_close_pairs(now[:cut, 0], now[:cut, 1], np.ascontiguousarray(now[:cut, 2:]).view(np.uint64), most))
+        if kept is not None:
+            yield from out(_close_pairs(kept[:, 0], kept[:, 1], np.ascontiguousarray(kept[:, 2:]).view(np.uint64), most))
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fps = scratch.save(own.mapInArrow(printed, "doc_id long, p0 long, p1 long"), "fps")
+    reps = scratch.save(fps.where("doc_id is not null").groupBy("p0", "p1").agg(F.min("doc_id").alias("rep")), "reps")
+    keys = reps.select("rep", "p0", "p1").mapInArrow(keyed, "key long, rep long, p0 long, p1 long")
+    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(met, "u long, v long")
+    return _classes(spark, fps, ["p0", "p1"], reps, scratch.save(edges.distinct(), "edges"), scratch)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of ``similar`` ones: that with the smallest id.
 
     Rows with a null id all stay; rows that repeat the kept id stay together.
     """
-    found = near_duplicates(spark, docs, id_col, text_col, words, bits).where("doc_id <> component_id").select("doc_id").distinct()
-    found = found.withColumnRenamed("doc_id", "__gone")
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = similar(spark, docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
