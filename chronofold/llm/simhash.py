@@ -313,10 +313,19 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[rows]), pa.array(p0[rows]), pa.array(p1[rows])], names=["key", "rep", "p0", "p1"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                e = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+        # what a task links leaves it as one edge per document, to the smallest one: other tasks mostly say the same
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.setdefault(i, i)) != i:
+                root[i] = i = root[up]
+            return i
+
+        def link(rows: np.ndarray) -> None:
+            found = _close_pairs(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), most)
+            for i, j in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
+                i, j = find(i), find(j)
+                root[max(i, j)] = min(i, j)
 
         kept = None
         for b in batches:
@@ -327,9 +336,11 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
             cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last key may go on
             kept = now[cut:]
             if cut:
-                yield from out(_close_pairs(now[:cut, 0], now[:cut, 1], np.ascontiguousarray(now[:cut, 2:]).view(np.uint64), most))
+                link(now[:cut])
         if kept is not None:
-            yield from out(_close_pairs(kept[:, 0], kept[:, 1], np.ascontiguousarray(kept[:, 2:]).view(np.uint64), most))
+            link(kept)
+        ids = [i for i in root if find(i) != i]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root[i] for i in ids], pa.int64())], names=["u", "v"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fps = scratch.save(own.mapInArrow(printed, "doc_id long, p0 long, p1 long"), "fps")
