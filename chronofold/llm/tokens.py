@@ -14,6 +14,8 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -29,6 +31,7 @@ ODD_CHAR = re.compile(rf"[^\x00-\x7f{LETTERS}]")
 BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 CACHE_ENTRIES = 600_000
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 def byte_letters() -> dict[int, int]:
@@ -41,14 +44,17 @@ def byte_letters() -> dict[int, int]:
 class _Cache(dict):
     """Ids by chunk; ``make`` encodes a chunk that isn't known."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries // 2:  # what is still in use comes back from the older half
+            self.older = dict(self)
             self.clear()
-        self[chunk] = ids = self.make(chunk)
+        ids = self.older.get(chunk)
+        self[chunk] = ids = self.make(chunk) if ids is None else ids
         return ids
 
 
@@ -62,6 +68,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.kind = self._kind(json.load(f))
         self.split = BYTE_SPLIT if self.kind == "byte" else WORD_SPLIT
+        self.piece = _Cache(self._piece)
         self.raw = _Cache(self._chunk)
         self.after_space = _Cache(lambda w: self._chunk(w if w[:1] == "\n" else " " + w))
 
@@ -85,11 +92,11 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk.isascii() and ODD_CHAR.search(chunk):
             return self._whole(chunk)
-        ids = []
-        for piece in self.split.findall(chunk.lower() if self.kind == "word" else chunk):
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(mapped)]
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self.piece.__getitem__, self.split.findall(chunk.lower() if self.kind == "word" else chunk)))
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.kind or ODD_SPACE.search(text):
