@@ -15,27 +15,35 @@ spanning forest of the verified links. Fingerprints in a larger key take the
 exact way for any size: each is listed under every mask of two erased bits
 (2016 of them); the fingerprints under one mask are at most four, all linked.
 
-Documents that are merely similar differ in more bits. For them ``similar`` takes
-two fingerprints of 64 bits and keys of two Golay codewords each, of any two of a
-fingerprint's three segments: up to five errors in a fingerprint leave two
-segments with at most two errors, so such pairs always meet, and pairs with more
-errors often do. They link by the share of equal bits in both fingerprints.
+Documents that are merely similar differ in more bits, by chance in so many that
+no bound tells them from others. ``similar`` therefore compares sets of shingles
+(as 64-bit hashes) exactly. Two sets of a Jaccard similarity of at least t that
+are put in one common order, rare shingles first, share a shingle among the first
+``n - ceil(t * n) + 1`` of each: the shingles of these heads are keys that every
+such pair meets under. How often shingles occur is counted in a table of hashed
+counters, which decides the order only. Pairs under a key that can still reach t
+by their sizes and places are verified on their whole sets. A few partners a set
+come first; pairs that these have connected already need no comparison.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, components, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (shift, width)
+COUNTERS = 1 << 18  # hashed counters of shingles
+ROUNDS = (4, 16, None)  # partners a set is compared with
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the (23, 12) Golay code
 
 
@@ -126,10 +134,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(_majority(b"".join([digest(s, 42) for s in _shingles(text, words)]), 8), "big")
 
 
-def fingerprint_pair(text: str | None, words: int = 5) -> bytes:
-    """SimHash of 128 bits (XXH3, seed 42): two fingerprints of 64."""
-    digest = xxhash.xxh3_128_digest
-    return _majority(b"".join([digest(s, 42) for s in _shingles(text, words)]), 16)
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted XXH3 (64 bits, seed 42) of the distinct word shingles."""
+    return np.array(sorted({xxhash.xxh3_64_intdigest(s, 42) for s in _shingles(text, words)}), dtype=np.uint64)
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """One signed long for a set: equal sets have equal ones."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 42)).astype(np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -241,113 +253,170 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return _classes(spark, fps, ["fp"], reps, links(spark, reps, scratch, bits, bucket), scratch)
 
 
-def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row index, key) for fingerprints (n, 2): two codewords, of two segments of one of the fingerprints."""
-    rows, keys = [], []
-    for which in range(prints.shape[1]):
-        near = [codewords_near(((prints[:, which] >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64)) for s, w in SEGMENTS]
-        once = [np.concatenate([np.ones((len(c), 1), bool), c[:, 1:] != c[:, :1]], axis=1) for c in near]
-        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            both = (near[i][:, :, None] << 12) | near[j][:, None, :] | (np.int64(3 * which + k) << 24)
-            valid = once[i][:, :, None] & once[j][:, None, :]
-            r, _, _ = np.nonzero(valid)
-            rows.append(r)
-            keys.append(both[valid])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _close_pairs(key: np.ndarray, rep: np.ndarray, prints: np.ndarray, most: int) -> list[np.ndarray]:
-    """Links within the runs of equal keys of sorted arrays; long runs give a spanning forest."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of batches of long columns that are sorted by the first one; its runs stay whole."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+        now = now if kept is None else np.concatenate([kept, now])
+        cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last key may go on
+        kept = now[cut:]
+        if cut:
+            yield now[:cut]
+    if kept is not None:
+        yield kept
+
+
+def _run_sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of the row's run, its end, its length) of each row of a sorted array."""
     border = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(border)
-    out = []
-    for k in np.flatnonzero(size > 64):
-        a, b = border[k], border[k + 1]
-        todo = np.ones(b - a, bool)
-        p, r = prints[a:b], rep[a:b]
-        for seed in range(b - a):
-            if not todo[seed]:
-                continue
-            todo[seed] = False
-            front = [seed]
-            while front and todo.any():
-                f = front.pop()
-                rest = np.flatnonzero(todo)
-                hit = rest[np.bitwise_count(p[rest] ^ p[f]).sum(axis=1) <= most]
-                if len(hit):
-                    out.append(np.stack([np.full(len(hit), r[f]), r[hit]], axis=1))
-                    todo[hit] = False
-                    front += hit.tolist()
-    small = np.repeat(size <= 64, size)
-    left = np.repeat(border[1:], size) - np.arange(len(key))  # rows of the run from each row on
-    at = np.flatnonzero(small & (left > 1))
+    return np.repeat(border[:-1], size), np.repeat(border[1:], size), np.repeat(size, size)
+
+
+def _candidates(rows: np.ndarray, share: Fraction, every: bool) -> Iterator[np.ndarray]:
+    """Pairs (print, print) of (key, n, print, place, root), sorted, that may reach ``share`` and have other roots.
+
+    Not ``every`` one: those with the run's first row and with the row before.
+    """
+    start, end, _ = _run_sizes(rows[:, 0])
+    n, place, root = rows[:, 1], rows[:, 3], rows[:, 4]
+    num, den = share.numerator, share.denominator
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return n[i] * den >= n[j] * num  # i before j: the smaller one
+
+    def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        rest = np.minimum(n[i] - place[i], n[j] - place[j])  # at the first shared shingle, all that can be shared
+        return near(i, j) & (root[i] != root[j]) & (rest * (num + den) >= num * (n[i] + n[j]))
+
+    at = np.arange(len(rows))
+    if not every:
+        for i, j in ((start, at), (at[:-1], at[1:])):
+            ok = (start[i] == start[j]) & (i != j)
+            i, j = i[ok], j[ok]
+            ok = able(i, j)
+            yield rows[np.stack([i[ok], j[ok]], axis=1), 2]
+        return
     shift = 1
+    at = at[end - at > shift]
     while len(at):
-        close = at[np.bitwise_count(prints[at] ^ prints[at + shift]).sum(axis=1) <= most]
-        if len(close):
-            out.append(np.stack([rep[close], rep[close + shift]], axis=1))
+        at = at[near(at, at + shift)]  # sizes only grow
+        ok = at[able(at, at + shift)]
+        if len(ok):
+            yield rows[np.stack([ok, ok + shift], axis=1), 2]
         shift += 1
-        at = at[left[at] > shift]
-    return out
+        at = at[end[at] - at > shift]
 
 
 def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, p0, p1, component_id): documents whose two fingerprints agree in at least ``similarity`` of their bits link.
+    """(doc_id, print, component_id): documents whose sets of shingles have a Jaccard similarity of at least ``similarity`` link.
 
-    Defined results as for ``near_duplicates``.
+    Defined results as for ``near_duplicates``; texts without words are equal.
     """
     scratch = Scratch(spark, "similar")
-    most = int(128 * (1 - similarity) + 1e-9)
+    share = Fraction(str(similarity))
+    if not 0 < share <= 1:
+        raise ValueError("the similarity is above 0 and at most 1")
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = np.frombuffer(b"".join([fingerprint_pair(t, words) for t in b.column(1).to_pylist()]), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["doc_id", "p0", "p1"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        names = ["doc_id", "print", "counts"]
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                rep, p0, p1 = (part.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-                rows, keys = pair_keys(np.stack([p0, p1], axis=1).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[rows]), pa.array(p0[rows]), pa.array(p1[rows])], names=["key", "rep", "p0", "p1"])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what a task links leaves it as one edge per document, to the smallest one: other tasks mostly say the same
-        root: dict[int, int] = {}
-
-        def find(i: int) -> int:
-            while (up := root.setdefault(i, i)) != i:
-                root[i] = i = root[up]
-            return i
-
-        def link(rows: np.ndarray) -> None:
-            found = _close_pairs(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), most)
-            for i, j in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
-                i, j = find(i), find(j)
-                root[max(i, j)] = min(i, j)
-
-        kept = None
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                counts += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                prints = pa.array([set_print(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), prints, pa.nulls(len(sets), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(4)], axis=1)
-            now = now if kept is None else np.concatenate([kept, now])
-            cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last key may go on
-            kept = now[cut:]
-            if cut:
-                link(now[:cut])
-        if kept is not None:
-            link(kept)
-        ids = [i for i in root if find(i) != i]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root[i] for i in ids], pa.int64())], names=["u", "v"])
+            for c in b.column(0):
+                counts += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fps = scratch.save(own.mapInArrow(printed, "doc_id long, p0 long, p1 long"), "fps")
-    reps = scratch.save(fps.where("doc_id is not null").groupBy("p0", "p1").agg(F.min("doc_id").alias("rep")), "reps")
-    keys = reps.select("rep", "p0", "p1").mapInArrow(keyed, "key long, rep long, p0 long, p1 long")
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(met, "u long, v long")
-    return _classes(spark, fps, ["p0", "p1"], reps, scratch.save(edges.distinct(), "edges"), scratch)
+    both = scratch.save(own.mapInArrow(printed, "doc_id long, print long, counts binary"), "prints")
+    fps = both.where("counts is null").select("doc_id", "print")
+    reps = scratch.save(fps.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
+    total = both.where("counts is not null").select("counts").repartition(1).mapInArrow(summed, "counts binary").first()
+    often = np.frombuffer(zlib.decompress(total["counts"]), dtype=np.int64)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                out = [np.empty((0, 4), dtype=np.int64)]
+                for t in b.column(1).slice(k, 1024).to_pylist():
+                    s = shingle_set(t, words)
+                    n, me = len(s), set_print(s)
+                    if not n or me in seen:
+                        continue
+                    if len(seen) < 1 << 20:
+                        seen.add(me)
+                    head = n + 1 - -(-share.numerator * n // share.denominator)
+                    order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:head]
+                    out.append(np.stack([s[order].view(np.int64), np.full(head, n), np.full(head, me), np.arange(head)], axis=1))
+                rows = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names=["key", "n", "print", "place"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]  # equal sets of other tasks
+            rows = rows[_run_sizes(rows[:, 0])[2] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names=["key", "n", "print", "place"])
+
+    kind = "key long, n long, print long, place long"
+    keys = own.where("doc_id is not null").mapInArrow(heads, kind).repartition("key").sortWithinPartitions("key", "n", "print", "place")
+    keys = scratch.save(keys.mapInArrow(shared, kind), "keys")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                sets = [shingle_set(t, words) for t in b.column(1).slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_print(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["print", "hashes"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common * share.denominator >= share.numerator * (len(x) + len(y) - common))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    edges = spark.createDataFrame([], "u long, v long")
+    for k, most in enumerate(ROUNDS):
+
+        def met(batches: Iterator[pa.RecordBatch], every: bool = most is None) -> Iterator[pa.RecordBatch]:
+            for rows in _runs(batches):
+                for pairs in _candidates(rows, share, every):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.copy()], names=["a", "b"])
+
+        roots = components(spark, edges, Scratch(spark, f"similar-{k}"))
+        where = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
+        rooted = keys.join(where, "print").select("key", "n", "print", "place", "root")
+        pairs = rooted.repartition("key").sortWithinPartitions("key", "n", "print").mapInArrow(met, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+        if most is not None:  # the partners of the most shared keys
+            pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("nth") <= most)
+        pairs = scratch.save(pairs.select("a", "b"), f"pairs-{k}")
+        if pairs.isEmpty():
+            continue
+        need = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct().join(reps, "print")
+        sets = own.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets_of, "print long, hashes binary")
+        sets = scratch.save(sets.join(need.select("print"), "print", "left_semi").dropDuplicates(["print"]), f"sets-{k}")
+        full = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
+        found = full.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        found = found.join(reps.select(F.col("print").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("print").alias("b"), F.col("rep").alias("v")), "b")
+        edges = edges.union(scratch.save(found.select("u", "v"), f"edges-{k}"))
+        scratch.drop(f"pairs-{k}", f"sets-{k}")
+    return _classes(spark, fps, ["print"], reps, edges, scratch)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

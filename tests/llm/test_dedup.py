@@ -102,6 +102,27 @@ def test_similar_documents_meet_and_others_stay(spark):
     assert kept.columns == df.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id < 100").count() == 60
 
 
+def test_similar_matches_brute_force_jaccard(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    # one passage many times outweighs all else in a SimHash, but is a small part of the set
+    rows += [(2000 + i, "the same few words again and again " * 80 + " ".join(rng.choice([f"w{k}" for k in range(4000)], 300))) for i in range(3)]
+    base = [f"v{k}" for k in rng.integers(0, 4000, 300)]
+    for i in range(60):  # similarities around 0.8
+        words = list(base[i:])
+        for at in rng.choice(len(words), rng.integers(1, 10), replace=False):
+            words[at] = f"u{i}"
+        rows.append((3000 + i, " ".join(words)))
+    rows += [(4000, None), (4001, ""), (4002, "two words"), (4003, "Two  words")]
+    sets = {i: set(simhash._shingles(t, 5)) for i, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if b < a and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))]
+    assert sum(sets[a] != sets[b] for a, b in pairs) > 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(spark, df).collect()} == classes(pairs, ids)
+    assert simhash.similar(spark, df.limit(0)).count() == 0
+
+
 def brute_repeats(rows, min_words):
     first, marked = {}, {}
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
