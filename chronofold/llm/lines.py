@@ -8,6 +8,10 @@ follow each other in a document make a passage; passages of at least
 ``min_words`` words are removed, and their places in the original text are kept,
 in code points. Sentences matter because passages are often pasted into the
 middle of a line; the least length keeps short phrases that recur by chance.
+Lines that are repeated as a whole can be removed whatever their length.
+
+In scripts without spaces a sentence mark ends a unit without white space after
+it, and two characters count as a word.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, table
 
-UNIT = re.compile(r"[^\n.!?…。！？]*(?:[.!?…。！？]+(?!\s|\Z)[^\n.!?…。！？]*)*[.!?…。！？]*[^\S\n]*\n?")
+UNIT = re.compile(r"[^\n.!?…。！？]*(?:[.!?…]+(?![\s.!?…。！？]|\Z)[^\n.!?…。！？]*)*[.!?…。！？]*[^\S\n]*\n?")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 EDGE = " \t\"'“”‘’«»()[]{}-–—*#%&$|.,;:!?…"
 
 
@@ -33,15 +38,32 @@ def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
         words = m[0].lower().split()
         plain = " ".join(words).strip(EDGE)
         if plain:
-            out.append((m.start(), m.end(), len(words), xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))))
+            count = len(words) if plain.isascii() else max(len(words), len(UNSPACED.findall(plain)) // 2)
+            out.append((m.start(), m.end(), count, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))))
+        elif out and out[-1][1] == m.start() and text[m.start() - 1] != "\n":  # signs at the end of a line go with its last words
+            out[-1] = (out[-1][0], m.end(), *out[-1][2:])
+    return out
+
+
+def lines_of(text: str | None, cuts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, bytes]]:
+    """(start, digest) of the line that each of the text's ``units`` is in."""
+    out, upto, line = [], -1, (0, b"")
+    for start, *_ in cuts:
+        if start >= upto:
+            begin = text.rfind("\n", 0, start) + 1
+            upto = text.find("\n", start) + 1 or len(text)
+            plain = " ".join(text[begin:upto].lower().split()).strip(EDGE)
+            line = begin, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+        out.append(line)
     return out
 
 
-def repeated(spark: SparkSession, docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(spark: SparkSession, docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id, first_start): one row per passage to remove.
 
     ``first_doc_id`` and ``first_start`` place the kept occurrence of the passage's
-    first unit. Defined results: rows with a null id take no part; null and empty
+    first unit. With ``whole_lines``, every later occurrence of a whole line goes,
+    also below ``min_words``. Defined results: rows with a null id take no part; null and empty
     texts have no units; rows that repeat an id are one document, in which equal
     places are the same occurrence; an empty table gives an empty result; other
     columns are not read.
@@ -52,20 +74,30 @@ def repeated(spark: SparkSession, docs: DataFrame, min_words: int = 20, id_col:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                rows = [(d, n, *u) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for n, u in enumerate(units(t))]
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "nth", "start", "end", "words", "digest"])
+                rows = []
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    us = units(t)
+                    rows += [(d, n, *u, *line) for n, (u, line) in enumerate(zip(us, lines_of(t, us) if whole_lines else [(None, None)] * len(us)))]
+                columns = list(zip(*rows)) or [()] * 8
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "nth", "start", "end", "words", "digest", "line_start", "line"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    cuts = scratch.save(own.mapInArrow(cut, "doc_id long, nth int, start int, end int, words int, digest binary"), "units")
+    cuts = scratch.save(own.mapInArrow(cut, "doc_id long, nth int, start int, end int, words int, digest binary, line_start int, line binary"), "units")
     firsts = cuts.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     later = cuts.join(scratch.save(firsts, "firsts"), "digest").where("doc_id <> first_doc_id or start <> first_start").drop("digest").distinct()
+    later = later.withColumn("whole", F.lit(False))
+    if whole_lines:
+        place = F.struct("doc_id", "line_start")
+        kept = cuts.groupBy("line").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("line", "kept")
+        later = later.join(scratch.save(kept, "lines"), "line", "left").withColumn("whole", F.coalesce(place != F.col("kept"), F.lit(False)))
     # units of one document that follow each other keep the same difference
     order = Window.partitionBy("doc_id").orderBy("nth", "start")
     runs = later.withColumn("run", F.col("nth") - F.row_number().over(order))
+    total = F.sum("words").over(Window.partitionBy("doc_id", "run"))
+    runs = runs.withColumn("total", total).where((F.col("total") >= min_words) | F.col("whole")).withColumn("run", F.col("nth") - F.row_number().over(order))
     spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min(F.struct("nth", "first_doc_id", "first_start")).alias("f"))
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_start").cast("long").alias("first_start"))
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_start").cast("long").alias("first_start"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,4 +112,4 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op9_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(spark, table(spark, sf_dir, "documents"))
+    return repeated(spark, table(spark, sf_dir, "documents"), whole_lines=True)

@@ -161,3 +161,39 @@ def test_units_cover_places():
     text = "One. Two!  three 3.5 four\n\n  Five… end"
     assert [text[a:b].strip() for a, b, _, _ in lines.units(text)] == ["One.", "Two!", "three 3.5 four", "Five…", "end"]
     assert lines.units(None) == [] and lines.units("...") == []
+
+
+def test_repeated_whole_lines_of_any_length(spark):
+    rows = [(1, "Short line.\nown words here\n短い行です。"), (2, "other\n  short LINE\nmore"), (3, "Short line. And more on it."), (4, "短い行です。\nx"), (5, "Two parts. One line.\nyes"), (6, "no\nTwo parts.  One line.\nTwo parts. Another line.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.repeated(spark, df, whole_lines=True)
+    text = dict(rows)
+    assert sorted((r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["first_doc_id"]) for r in got.collect()) == [(2, "  short LINE\n", 1), (4, "短い行です。\n", 1), (6, "Two parts.  One line.\n", 5)]
+    assert lines.repeated(spark, df).count() == 0
+
+
+def test_scripts_without_spaces_are_cut_and_counted():
+    text = "今日は天気がいいです。明日も晴れるでしょう！" * 2
+    assert [text[a:b] for a, b, _, _ in lines.units(text)] == ["今日は天気がいいです。", "明日も晴れるでしょう！"] * 2
+    assert [w for _, _, w, _ in lines.units(text)] == [5, 5, 5, 5]
+
+
+def test_query_removes_every_repeated_line(spark):
+    spans, seen = {}, set()
+    for r in lines.op9_line_hashing(spark, SF).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    later = 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        cuts = lines.units(r["text"])
+        places = lines.lines_of(r["text"], cuts)
+        first = {}
+        for (a, b, _, _), (begin, digest) in zip(cuts, places):
+            if digest in seen or first.setdefault(digest, begin) != begin:
+                later += 1
+                assert any(s <= a and b <= e for s, e in spans[r["doc_id"]])
+        seen.update(first)
+    assert later > 0
+
+
+def test_signs_at_a_line_end_go_with_its_words():
+    assert [(a, b) for a, b, _, _ in lines.units("One. two. |\nx")] == [(0, 5), (5, 12), (12, 13)]
