@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_importance_resampling": quality.op1_importance_resampling, "op2_ball_tree": topk.ORACLE_SQL, "op5_tag_paths": htmltext.op5_tag_paths, "op6_pfair": mixing.ORACLE_SQL, "op7_hnsw": hnsw.ORACLE_SQL}
+    return {"op2_ball_tree": topk.ORACLE_SQL, "op6_pfair": mixing.ORACLE_SQL, "op7_hnsw": hnsw.ORACLE_SQL}
