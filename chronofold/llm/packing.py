@@ -113,8 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, i
         seen = [0] * (capacity + 1)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+                ids += end
                 n, start, k = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % capacity or capacity

@@ -86,9 +86,9 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
         width = 2 if max(enc.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                out = [frame(d, enc.encode(t or "") + end, width) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            for k in range(0, b.num_rows, 4096):
+                part = b.slice(k, 4096)
+                out = [frame(d, ids + end, width) for d, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
