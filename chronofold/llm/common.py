@@ -11,28 +11,53 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.ship import ship_package
 
-__all__ = ["Scratch", "components", "delete_path", "shared_dir", "ship_package", "table"]
+__all__ = ["Scratch", "bounded", "components", "delete_path", "shared_dir", "ship_package", "table", "unused"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; in local mode, where none is set, a temporary one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column is called so (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text in a string column; a single longer text is one slice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system API; missing ones are fine."""
     jvm = spark.sparkContext._jvm

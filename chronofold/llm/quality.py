@@ -2,20 +2,20 @@
 
 Two generative models over hashed n-grams are counted: one over labelled good
 documents (the target), one over all documents (the raw corpus). A document's
-log weight is the log ratio of its probabilities under the two, as of a text of
-``REFERENCE`` n-grams: the sum over its n-grams, scaled to that length, so that
-the models' errors don't add up with length. Documents are
-drawn without replacement in proportion to their weights by Gumbel top-k: each
-log weight gets Gumbel noise from a hash of the document's id, and the k largest
-are kept.
+log weight is the log ratio of its probabilities under the two, as of a passage of
+``passage`` n-grams: their mean, times that number. The n-grams of a text hang
+together, and so do the errors of models counted from few labelled texts: plain sums
+let these errors grow with length and reject long clean texts. Documents are drawn without replacement in proportion to their
+weights by Gumbel top-k: each log weight gets Gumbel noise from a hash of the
+document's id, and the k largest are kept.
 
 The features are word unigrams, word bigrams, and trigrams of word shapes with a
 mark on words that repeat their predecessor; each has a table of its own. Shapes
-make the ratio hold for words that neither model has seen. k is the number of
-documents whose weight reaches the point that best separates labelled rows which
-the target model has not seen. The labelled rows are a bounded sample, one half
-for the model and one for that point; everything else is counted over all
-documents.
+make the ratio hold for words that neither model has seen. k may be given; else it
+is the number of documents whose weight reaches the point that best separates
+labelled rows which the target model has not seen. The labelled rows are a bounded
+sample, one half for the model and one for that point; everything else is counted
+over all documents.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.common import Scratch, table
+from chronofold.llm.common import Scratch, bounded, table, unused
 
 BUCKETS = 1 << 13
+WORDS_KEPT = 250_000
+PASSAGE = 50
 TABLES = 3
-REFERENCE = 300
 SHAPES = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "x"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "XX"), (re.compile(r"[0-9]+"), "9"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
 
@@ -42,38 +44,47 @@ def shape(word: str) -> str:
     """A word's shape: runs of letters, capitals, digits and signs shortened."""
     for pattern, by in SHAPES:
         word = pattern.sub(by, word)
-    return word[:12]
+    return word
 
 
 class Words(dict):
-    """Per word: hash of its lower-case form (32 bits) and of its shape (16 bits), in one integer."""
+    """Per word: hash of its lower-case form (32 bits) and of its shape (16 bits), in one integer. Long words are not kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = code = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 16 | zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) & 0xFFFF
+        code = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 16 | zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) & 0xFFFF
+        if len(word) <= 64:
+            self[word] = code
         return code
 
 
 WORDS = Words()
 
 
-def features(text: str | None) -> np.ndarray:
-    """Bucket numbers of all n-grams of a whole text, with repeats."""
-    words = (text or "").split()
-    codes = np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket number, which text) of all n-grams of whole texts, with repeats; null is an empty text."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    coded = lists.values.dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))[coded.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    there = np.array([w != "" for w in words], dtype=bool)[coded.indices.to_numpy()]
+    codes, doc = codes[there], doc[there]
     h, s = codes >> np.uint64(16), codes & np.uint64(0xFFFF)
     low, mul = np.uint64(BUCKETS - 1), np.uint64(0x9E3779B97F4A7C15)
 
     def mixed(x: np.ndarray) -> np.ndarray:
         return ((x * mul) >> np.uint64(40)) & low
 
+    two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]  # in one text
     pairs = mixed(h[:-1] * np.uint64(0x100000001B3) + h[1:])
     again = np.zeros(len(h), dtype=np.uint64)
-    again[1:] = h[1:] == h[:-1]
+    again[1:] = (h[1:] == h[:-1]) & two
     s = s * np.uint64(2) + again
     threes = mixed((s[:-2] * np.uint64(1 << 17) + s[1:-1]) * np.uint64(1 << 17) + s[2:])
-    return np.concatenate([h & low, pairs + np.uint64(BUCKETS), threes + np.uint64(2 * BUCKETS)]).astype(np.int64)
+    at = np.concatenate([h & low, pairs[two] + np.uint64(BUCKETS), threes[three] + np.uint64(2 * BUCKETS)]).astype(np.int64)
+    return at, np.concatenate([doc, doc[:-1][two], doc[:-2][three]])
 
 
 def label_sample(labels: DataFrame, fit_rows: int) -> DataFrame:
@@ -94,17 +105,12 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(TABLES * BUCKETS, dtype=np.int64), np.zeros(TABLES * BUCKETS, dtype=np.int64)
         for b in batches:
-            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(features(text), minlength=TABLES * BUCKETS) if text and len(text) > 20000 else None
-                if c is None:
-                    at, c = np.unique(features(text), return_counts=True)
-                    raw[at] += c
-                    if good == 1:
-                        target[at] += c
-                else:
-                    raw += c
-                    if good == 1:
-                        target += c
+            for part in bounded(b, 0):
+                at, doc = features(part.column(0))
+                raw += np.bincount(at, minlength=TABLES * BUCKETS)
+                good = pc.fill_null(part.column(1), 0).to_numpy(zero_copy_only=False) == 1
+                if good.any():
+                    target += np.bincount(at[good[doc]], minlength=TABLES * BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -124,15 +130,17 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str
     return np.where(seen & (total > 0), np.log(ratio.clip(1e-9)), 0.0).ravel()
 
 
-def log_weights(docs: DataFrame, weights: np.ndarray, text_col: str, to: str) -> DataFrame:
-    """``docs`` with each text's log importance weight in column ``to``."""
+def log_weights(docs: DataFrame, weights: np.ndarray, text_col: str, to: str, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with each text's log importance weight in column ``to``: 0 for a text without words."""
+    at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            found = (weights[features(t)] for t in texts)
-            w = np.fromiter((REFERENCE * f.mean() if len(f) else 0.0 for f in found), dtype=np.float64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w)], names=[*b.schema.names, to])
+            for part in bounded(b, at_text):
+                at, doc = features(part.column(at_text))
+                n = np.bincount(doc, minlength=part.num_rows)
+                w = passage * np.bincount(doc, weights=weights[at], minlength=part.num_rows) / n.clip(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w)], names=[*part.schema.names, to])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
@@ -184,33 +192,35 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = 20_000, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, passage: int = PASSAGE) -> DataFrame:
     """The kept rows of ``docs``: its columns (or ``columns``) with ``log_weight`` and ``gumbel_key``.
 
-    Defined results: null and empty texts weigh 0 in the log (both models give
-    them probability 1), so they are kept exactly if 0 reaches the cut; rows with
-    null ids are judged by their text; rows with equal keys at the cut stay
-    together; without good labels, or without bad ones, nothing is rejected; an
-    empty table gives an empty result; columns of ``docs`` named like the added
-    ones are replaced when ``columns`` is not given.
+    ``k`` rows are drawn (all, if there are fewer); without it, as many as reach the
+    weight that separates the labelled rows. Defined results: null and empty texts
+    weigh 0 in the log (both models give them probability 1) and are drawn by that;
+    rows with null ids are judged by their text; rows with equal keys at the cut stay
+    together; without ``k`` and without good labels, or without bad ones, nothing is
+    rejected; an empty table gives an empty result; columns of ``docs`` named like the
+    added ones are replaced when ``columns`` is not given.
     """
     scratch = Scratch(spark, "quality")
     sample = scratch.save(label_sample(labels, fit_rows), "labels")
     weights = fit(docs, sample, text_col, id_col)
     kept = [c for c in (columns or docs.columns) if c not in ("log_weight", "gumbel_key")]
-    inside = "__text"
-    while inside in docs.columns:
-        inside += "_"
-    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(inside), F.col(id_col).cast("long").alias(f"{inside}_id"))
-    scored = log_weights(own, weights, inside, "log_weight")
-    key = F.col("log_weight") + gumbel(F.col(f"{inside}_id"), seed=seed)
-    scored = scored.withColumn("gumbel_key", key).drop(inside).withColumnRenamed(f"{inside}_id", "__id")
-    scored = scratch.save(scored, "scored")
-    known = scored.select(F.col("__id").alias("doc_id"), "log_weight").join(F.broadcast(sample.where("held or good = 0")), "doc_id").select("log_weight", "good").toPandas()  # a bounded sample
-    cut = separation(known["log_weight"].to_numpy(float), known["good"].to_numpy(int) == 1)
-    k = scored.where(F.col("log_weight") >= cut).count()
+    inside, own_id = unused([*docs.columns, "log_weight", "gumbel_key"], "text_"), unused([*docs.columns, "log_weight", "gumbel_key"], "id_")
+    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(inside), F.col(id_col).cast("long").alias(own_id))
+    scored = log_weights(own, weights, inside, "log_weight", passage)
+    key = F.col("log_weight") + gumbel(F.col(own_id), seed=seed)
+    scored = scratch.save(scored.withColumn("gumbel_key", key).drop(inside), "scored")
+    if k is None:
+        held = scored.select(F.col(own_id).alias("doc_id"), "log_weight").join(F.broadcast(sample.where("held or good = 0")), "doc_id")
+        known = held.groupBy("doc_id").agg(F.avg("log_weight").alias("w"), F.min("good").alias("good")).select("w", "good").toPandas()  # one row a labelled id of a bounded sample
+        cut = separation(known["w"].to_numpy(float), known["good"].to_numpy(int) == 1)
+        k = scored.where(F.col("log_weight") >= cut).count()
+    elif scored.count() <= k:
+        return scored.drop(own_id)
     least = kth_largest(scored.select("gumbel_key"), "gumbel_key", k)
-    return scored.where(F.lit(False) if least is None else F.col("gumbel_key") >= least).drop("__id")
+    return scored.where(F.lit(False) if least is None else F.col("gumbel_key") >= least).drop(own_id)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
