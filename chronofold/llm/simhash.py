@@ -16,14 +16,18 @@ exact way for any size: each is listed under every mask of two erased bits
 (2016 of them); the fingerprints under one mask are at most four, all linked.
 
 Documents that are merely similar differ in more bits, by chance in so many that
-no bound tells them from others. ``similar`` therefore compares sets of shingles
-(as 64-bit hashes) exactly. Two sets of a Jaccard similarity of at least t that
-are put in one common order, rare shingles first, share a shingle among the first
-``n - ceil(t * n) + 1`` of each: the shingles of these heads are keys that every
-such pair meets under. How often shingles occur is counted in a table of hashed
-counters, which decides the order only. Pairs under a key that can still reach t
-by their sizes and places are verified on their whole sets. A few partners a set
-come first; pairs that these have connected already need no comparison.
+no bound tells them from others. ``similar`` therefore takes fingerprints for
+finding and sets of shingles (as 64-bit hashes) for deciding. Pairs that share a
+Golay key come first; what they have connected need not be compared again. Then
+come keys that every pair meets under: two sets of a Jaccard similarity of at
+least t that are put in one common order, rare shingles first, share a shingle
+among the first ``n - ceil(t * n) + 1`` of each (their heads). How often shingles
+occur is counted in a table of hashed counters, which decides the order only.
+Under such a key, first a few partners a set are compared, at last all pairs of
+sets that aren't connected yet. A pair of these leaves its task under one key
+only, and only if its sizes and its sketches (shingles counted in 256
+parts of the hash space, which bounds what two sets can share) allow t. Every pair
+is verified on its whole sets.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, components, table
+from chronofold.llm.common import Scratch, components, table, unused
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (shift, width)
 COUNTERS = 1 << 18  # hashed counters of shingles
-ROUNDS = (4, 16, None)  # partners a set is compared with
+ROUNDS = (("golay", 4), ("head", 8), ("head", None))  # where pairs of sets meet, and with how many partners each is compared
+CLOSE = 16  # differing bits of 64, at most, for pairs that meet under a Golay key
+PARTS, LOW, NO_KEY = 256, 8, -(2**63)
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the (23, 12) Golay code
 
 
@@ -144,6 +150,17 @@ def set_print(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 42)).astype(np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes, as a signed long; 0 for the empty set."""
+    return int.from_bytes(_majority(hashes.tobytes(), 8), "big", signed=True)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes are in each of 256 parts of the hash space, modulo 16, two counts in a byte."""
+    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS) & 15
+    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): 64-bit SimHash of each whole text as a signed long."""
 
@@ -204,11 +221,9 @@ def links(spark: SparkSession, reps: DataFrame, scratch: Scratch, bits: int = 2,
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.uint64(1)
         pairs = [(a, b) for a in range(64) for b in range(a)]
         mask = np.array([(1 << a) | (1 << b) for a, b in pairs], dtype=np.uint64)
         where = np.arange(len(pairs), dtype=np.int32)
-        assert one
         for b in batches:
             fp, rep = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
             for k in range(0, len(fp), 64):
@@ -255,18 +270,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Rows of batches of long columns that are sorted by the first one; its runs stay whole."""
-    kept = None
+    kept: list[np.ndarray] = []
     for b in batches:
         if not b.num_rows:
             continue
         now = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-        now = now if kept is None else np.concatenate([kept, now])
+        if kept and kept[0][0, 0] == now[-1, 0]:  # one run goes on
+            kept.append(now)
+            continue
         cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last key may go on
-        kept = now[cut:]
-        if cut:
-            yield now[:cut]
-    if kept is not None:
-        yield kept
+        if cut or kept:
+            yield np.concatenate([*kept, now[:cut]])
+        kept = [now[cut:]]
+    if kept:
+        yield np.concatenate(kept)
 
 
 def _run_sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,37 +293,64 @@ def _run_sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(border[:-1], size), np.repeat(border[1:], size), np.repeat(size, size)
 
 
-def _candidates(rows: np.ndarray, share: Fraction, every: bool) -> Iterator[np.ndarray]:
-    """Pairs (print, print) of (key, n, print, place, root), sorted, that may reach ``share`` and have other roots.
+def _neighbours(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i before j, of each row with its run's first one and with the one before it."""
+    start, _, _ = _run_sizes(rows[:, 0])
+    at = np.arange(len(rows))
+    for i, j in ((start, at), (at[:-1], at[1:])):
+        ok = (start[i] == start[j]) & (i != j)
+        yield i[ok], j[ok]
+
 
-    Not ``every`` one: those with the run's first row and with the row before.
-    """
-    start, end, _ = _run_sizes(rows[:, 0])
-    n, place, root = rows[:, 1], rows[:, 3], rows[:, 4]
-    num, den = share.numerator, share.denominator
+def _sized(rows: np.ndarray, i: np.ndarray, j: np.ndarray, share: Fraction) -> np.ndarray:
+    """Can the sets reach ``share`` by their sizes, and is their root another? i is not larger than j."""
+    return (rows[i, 1] * share.denominator >= rows[j, 1] * share.numerator) & (rows[i, 4] != rows[j, 4])
 
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return n[i] * den >= n[j] * num  # i before j: the smaller one
 
-    def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        rest = np.minimum(n[i] - place[i], n[j] - place[j])  # at the first shared shingle, all that can be shared
-        return near(i, j) & (root[i] != root[j]) & (rest * (num + den) >= num * (n[i] + n[j]))
+def _placed(rows: np.ndarray, i: np.ndarray, j: np.ndarray, share: Fraction) -> np.ndarray:
+    """... and by the places of the shared shingle: after the first one, no more can be shared than what follows."""
+    n, place = rows[:, 1], rows[:, 3]
+    rest = np.minimum(n[i] - place[i], n[j] - place[j])
+    return _sized(rows, i, j, share) & (rest * (share.numerator + share.denominator) >= share.numerator * (n[i] + n[j]))
 
-    at = np.arange(len(rows))
-    if not every:
-        for i, j in ((start, at), (at[:-1], at[1:])):
-            ok = (start[i] == start[j]) & (i != j)
-            i, j = i[ok], j[ok]
-            ok = able(i, j)
-            yield rows[np.stack([i[ok], j[ok]], axis=1), 2]
-        return
-    shift = 1
-    at = at[end - at > shift]
+
+def _here(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Is this key the least one that the pair meets under? Also true where the lists of least keys can't tell.
+
+    If two sets' lists of their least keys share a key, the least such key is the
+    least that the sets share at all.
+    """
+    a, b = rows[i, 5 : 5 + LOW], rows[j, 5 : 5 + LOW]
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a != NO_KEY)
+    least = np.where(both, a, 2**63 - 1).min(axis=1)
+    return ~both.any(axis=1) | (least == rows[i, 0])
+
+
+def _sketched(rows: np.ndarray, i: np.ndarray, j: np.ndarray, share: Fraction) -> np.ndarray:
+    """Do the sketches leave room for ``share``? Counts that differ by d have d shingles that aren't shared."""
+    a, b = (np.ascontiguousarray(rows[k, 5 + LOW :]).view(np.uint8) for k in (i, j))
+    apart = np.zeros(len(i), dtype=np.int64)
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        d = (x - y) & 15
+        apart += np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
+    n = rows[i, 1] + rows[j, 1]
+    return (n - apart) * (share.numerator + share.denominator) >= 2 * share.numerator * n
+
+
+def _all_pairs(rows: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a run that may reach ``share`` and meet here; rows are sorted by key and size."""
+    _, end, _ = _run_sizes(rows[:, 0])
+    shift, at = 1, np.arange(len(rows))
+    at = at[end - at > 1]
     while len(at):
-        at = at[near(at, at + shift)]  # sizes only grow
-        ok = at[able(at, at + shift)]
-        if len(ok):
-            yield rows[np.stack([ok, ok + shift], axis=1), 2]
+        at = at[rows[at, 1] * share.denominator >= rows[at + shift, 1] * share.numerator]  # sizes only grow
+        for k in range(0, len(at), 1 << 14):
+            i = at[k : k + (1 << 14)]
+            # places say nothing here: the least shared key needn't be the first one in the sets' order
+            for test in (_sized, lambda r, i, j, _: _here(r, i, j), _sketched):
+                i = i[test(rows, i, i + shift, share)] if len(i) else i
+            if len(i):
+                yield i, i + shift
         shift += 1
         at = at[end[at] - at > shift]
 
@@ -323,15 +367,16 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        names = ["doc_id", "print", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["doc_id", "print", "n", "fp", "sketch", "counts"]
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 counts += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-                prints = pa.array([set_print(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), prints, pa.nulls(len(sets), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+                made = [part.column(0), [set_print(s) for s in sets], [len(s) for s in sets], [set_fingerprint(s) for s in sets], [sketch(s) for s in sets], [None] * len(sets)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(made, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip((None, None, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds)], names=names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -341,9 +386,11 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = scratch.save(own.mapInArrow(printed, "doc_id long, print long, counts binary"), "prints")
+    both = scratch.save(own.mapInArrow(printed, "doc_id long, print long, n long, fp long, sketch binary, counts binary"), "prints")
     fps = both.where("counts is null").select("doc_id", "print")
-    reps = scratch.save(fps.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
+    known = both.where("counts is null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    known = scratch.save(known, "reps")
+    reps = known.select("print", "rep")
     total = both.where("counts is not null").select("counts").repartition(1).mapInArrow(summed, "counts binary").first()
     often = np.frombuffer(zlib.decompress(total["counts"]), dtype=np.int64)
 
@@ -357,7 +404,7 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
                     n, me = len(s), set_print(s)
                     if not n or me in seen:
                         continue
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 17:
                         seen.add(me)
                     head = n + 1 - -(-share.numerator * n // share.denominator)
                     order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:head]
@@ -391,18 +438,62 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    edges = spark.createDataFrame([], "u long, v long")
-    for k, most in enumerate(ROUNDS):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                n, me, fp = (b.column(c).slice(k, 4096).to_numpy(zero_copy_only=False) for c in range(3))
+                r, keys = golay_keys(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, n[r], me[r], fp[r], me[r])], names=["key", "n", "print", "fp", "root"])
+
+    def pairs_of(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[k, 2]) for k in (i, j)], names=["a", "b"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            for i, j in _neighbours(rows):
+                ok = _sized(rows, i, j, share) & (np.bitwise_count((rows[i, 3] ^ rows[j, 3]).view(np.uint64)) <= CLOSE)
+                yield pairs_of(rows, i[ok], j[ok])
 
-        def met(batches: Iterator[pa.RecordBatch], every: bool = most is None) -> Iterator[pa.RecordBatch]:
-            for rows in _runs(batches):
-                for pairs in _candidates(rows, share, every):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.copy()], names=["a", "b"])
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            for i, j in _neighbours(rows):
+                ok = _placed(rows, i, j, share)
+                yield pairs_of(rows, i[ok], j[ok])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(flat(batches)):
+            for i, j in _all_pairs(rows, share):
+                yield pairs_of(rows, i, j)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sketch as 16 longs."""
+        for b in batches:
+            longs = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), dtype=np.int64).reshape(-1, PARTS // 16)
+            columns = [*b.columns[:-1], *(pa.array(c) for c in longs.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(c) for c in range(len(columns))])
+
+    def sorted_by_key(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "n", "print")
 
-        roots = components(spark, edges, Scratch(spark, f"similar-{k}"))
-        where = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
-        rooted = keys.join(where, "print").select("key", "n", "print", "place", "root")
-        pairs = rooted.repartition("key").sortWithinPartitions("key", "n", "print").mapInArrow(met, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    edges = spark.createDataFrame([], "u long, v long")
+    for k, (where, most) in enumerate(ROUNDS):
+        if where == "golay":
+            met_rows = sorted_by_key(known.where("n > 0").select("n", "print", "fp").mapInArrow(keyed, "key long, n long, print long, fp long, root long"))
+            pairs = met_rows.mapInArrow(near, "a long, b long")
+        else:
+            roots = components(spark, edges, Scratch(spark, f"similar-{k}"))
+            rooted = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
+            rows = keys.join(rooted, "print").select("key", "n", "print", "place", "root")
+            if most is None:  # only keys that still part something matter, and then a set's sketch and its least keys
+                rows = scratch.save(rows, "rooted")
+                live = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+                rows = scratch.save(rows.join(live, "key", "left_semi"), "live")
+                low = rows.groupBy("print").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))  # a set's head is bounded by its text
+                least = [F.coalesce(F.get("low", F.lit(c)), F.lit(NO_KEY)).alias(f"low{c}") for c in range(LOW)]
+                extra = low.join(known.select("print", "sketch"), "print").select("print", *least, "sketch")
+                rows = rows.join(extra, "print").select("key", "n", "print", "place", "root", *(f"low{c}" for c in range(LOW)), "sketch")
+            pairs = sorted_by_key(rows).mapInArrow(every if most is None else met, "a long, b long")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
         if most is not None:  # the partners of the most shared keys
             pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("nth") <= most)
         pairs = scratch.save(pairs.select("a", "b"), f"pairs-{k}")
@@ -424,8 +515,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Rows with a null id all stay; rows that repeat the kept id stay together.
     """
-    gone = similar(spark, docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs.columns, "gone")
+    gone = similar(spark, docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
