@@ -23,24 +23,69 @@ def test_main_text():
     assert htmltext.main_text(PAGE) == "My title\nFirst long paragraph, with some text; and more, to count.\nTiny & short.\nOne point is here.\nTwo\nAnother long paragraph, with a link in it."
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == ""
     assert htmltext.main_text("just text, no tags.") == "just text, no tags."
-    for odd in ('<p a="', "<", "</", "<!--", "<script>x", "<p>x</div></p>", "<a" * 3000, "<b>" * 3000 + "x"):
+    for odd in ('<p a="', "<", "</", "<!--", "<script>x", "<p>x</div></p>", "<a" * 3000, "<b>" * 3000 + "x", "</div>" * 3000, "<li><p>" * 3000):
         htmltext.main_text(odd)
 
 
-def test_pages_query(spark):
+ARTICLE = "<h1>Title here</h1><p>First long paragraph, with some text; and more, to count it.</p><ul><li>One</li><li>Two</li></ul><p>Second paragraph has quite some words, too. It ends here.</p><blockquote><p>Quoted words, for once.</p></blockquote><table><tr><td>a<td>b</table><ul><li><a href=z>A source</a></li></ul>"
+AROUND = '<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>%s<div class="comments"><p>Great article, thank you very much. I liked it, a lot!</p></div><footer>(c) us, all rights.</footer></body></html>'
+
+
+@pytest.mark.parametrize("wrapper", ["<article>%s</article>", "<div>%s</div>", '<div class="layout with-sidebar">%s</div>', '<div class="post ad-free">%s</div>', '<section id="share-prices">%s</section>', '<main><div class="widget-area content">%s</div></main>', '<div class="social-science">%s</div>'])
+def test_marks_around_an_article_take_nothing_away(wrapper):
+    want = "Title here\nFirst long paragraph, with some text; and more, to count it.\nOne\nTwo\nSecond paragraph has quite some words, too. It ends here.\nQuoted words, for once.\na\nb\nA source"
+    assert htmltext.main_text(AROUND % (wrapper % ARTICLE)) == want
+
+
+def test_marked_parts_inside_an_article_go():
+    inside = ARTICLE.replace("<ul><li>One", '<div class="share-bar"><p>Share this.</p></div><aside>See also.</aside><div class="ad">Buy it, now.</div><ul><li>One')
+    assert htmltext.main_text(AROUND % f"<article>{inside}</article>") == htmltext.main_text(AROUND % f"<article>{ARTICLE}</article>")
+
+
+def test_ratios_decide_where_nothing_is_marked():
+    bare = "<html><body><div><ul>" + "<li>Alpha beta</li>" * 60 + f"</ul></div><div>{ARTICLE}</div><div>Some small print</div></body></html>"
+    want = htmltext.main_text(AROUND % f"<div>{ARTICLE}</div>")
+    assert htmltext.main_text(bare) == want
+    assert htmltext.main_text(bare, ratios=False) != want
+
+
+def test_depth_is_linear():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        assert htmltext.main_text("<div><p>text, here.</p>" * n).count("\n") >= 0.75 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0] + 0.1
+
+
+def article_of(page):
+    """The text between the article's tags, without a parser: right for the test tables only."""
     import html
 
+    inner = re.sub("<br>", " ", re.sub("</?b>", "", re.search("<article>(.*)</article>", page, re.S)[1]))
+    blocks = (re.sub(r"\s+", " ", html.unescape(b)).strip() for b in re.split("</?p>|</?h1>", inner))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_pages_query(spark):
     got = {r["page_id"]: r for r in htmltext.op5_tag_paths(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        article = re.search("<article>(.*)</article>", r["html"], re.S)[1]
-        blocks = (re.sub(r"\s+", " ", html.unescape(re.sub("</?b>|<br>", " ", b))).strip() for b in re.split("</?p>|</?h1>", article))
-        assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
+        assert got[r["page_id"]]["text"] == article_of(r["html"])
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 1), (1, "u", PAGE, 2)], "page_id long, url string, html string, text int")
     assert [len(r["text"]) > 0 for r in htmltext.extract(df).collect()] == [False, False, True]
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_pages_whose_tags_and_classes_say_nothing(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", h).replace('class="ad"', 'class="q7"') for h in pages]
+    assert np.mean([htmltext.main_text(b) == article_of(h) for h, b in zip(pages, bare)]) >= 0.9
+    assert all(htmltext.main_text(re.sub(r"<(/?)article\b", r"<\1div", h)) == article_of(h) for h in pages)
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -93,11 +138,73 @@ def test_quality_on_unseen_labels(spark):
 
 
 def test_quality_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c", 1.0), (2, None, 2.0), (3, "", None), (None, "a b c", 1.0), (1, "a b c", 1.0)], "doc_id long, text string, log_weight double")
+    docs = spark.createDataFrame([(1, "a b c", 1.0, 4), (2, None, 2.0, 4), (3, "", None, 4), (None, "a b c", 1.0, 4), (1, "a b c", 1.0, 4)], "doc_id long, text string, log_weight double, __id int")
     none = spark.createDataFrame([(None, None), (1, None)], "doc_id long, quality int")
     out = quality.resample(spark, docs, none)
-    assert out.count() == 5 and out.columns == ["doc_id", "text", "log_weight", "gumbel_key"]
+    assert out.count() == 5 and out.columns == ["doc_id", "text", "__id", "log_weight", "gumbel_key"]
     assert quality.resample(spark, docs.limit(0), none).count() == 0
+    assert quality.resample(spark, docs, none, k=2).count() >= 2 and quality.resample(spark, docs, none, k=99).count() == 5
+
+
+def brute_grams(text):
+    """Buckets of a text's n-grams, one by one, by the formulas of the module."""
+    import zlib
+
+    words, out, mul = (text or "").split(), [], 0x9E3779B97F4A7C15
+    h = [zlib.crc32(w.lower().encode()) for w in words]
+    s = [2 * (zlib.crc32(quality.shape(w).encode()) & 0xFFFF) + (k > 0 and h[k] == h[k - 1]) for k, w in enumerate(words)]
+
+    def mixed(x):
+        return (((x % 2**64) * mul) % 2**64 >> 40) % 8192
+
+    out += [x % 8192 for x in h]
+    out += [8192 + mixed(a * 0x100000001B3 + b) for a, b in zip(h, h[1:])]
+    out += [16384 + mixed(((a << 17) + b << 17) + c) for a, b, c in zip(s, s[1:], s[2:])]
+    return out
+
+
+def test_resampling_matches_brute_force(spark):
+    """Counts, weights, Gumbel noise and the draw, all made again without Spark or numpy arrays."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "nice", "plain"] if i % 2 else ["BUY", "now!!", "$$$", "plain"], 1 + i % 5))) for i in range(120)]
+    rows += [(120, None), (121, ""), (122, " one  long " * 3000)]
+    labels = [(i, i % 2) for i in range(0, 120, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = {r["doc_id"]: r["held"] for r in quality.label_sample(spark.createDataFrame(labels, "doc_id long, quality int"), 100).collect()}
+    target_ids = {i for i, q in labels if q == 1 and not held[i]}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(brute_grams(t))
+        if i in target_ids:
+            target.update(brute_grams(t))
+    sums = [[sum(n for b, n in c.items() if b // 8192 == t) for t in range(3)] for c in (raw, target)]
+
+    def log_ratio(b):
+        p, n = raw[b] / sums[0][b // 8192], sums[1][b // 8192]
+        return math.log((target[b] + n * p) / (2 * n * p))
+
+    want = {i: sum(map(log_ratio, brute_grams(t))) * 8 / max(1, len(brute_grams(t))) for i, t in rows}
+    got = {r["doc_id"]: r for r in quality.resample(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int"), k=60, passage=8).collect()}
+    every = {r["doc_id"]: r for r in quality.resample(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int"), k=10**6, passage=8).collect()}
+    assert len(got) == 60 and len(every) == len(rows)
+    for i, r in every.items():
+        assert abs(r["log_weight"] - want[i]) < 1e-6 * (1 + abs(want[i]))
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel(docs["doc_id"]).alias("g")).collect()}
+    assert set(got) == set(sorted(want, key=lambda i: -(want[i] + noise[i]))[:60])
+    assert set(got) != set(sorted(want, key=lambda i: -want[i])[:60])  # it is a draw, not a threshold
+
+
+def test_draws_follow_the_weights(spark):
+    """Gumbel top-1 over rows of known weights is a draw in proportion to them."""
+    from pyspark.sql import functions as F
+
+    logs = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 2.0)], "id long, w double").crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    drawn = logs.withColumn("key", F.col("w") + quality.gumbel(F.col("id"), F.col("seed"))).groupBy("seed").agg(F.max_by("id", "key").alias("id")).groupBy("id").count().collect()
+    share = np.exp([0, 1, 2]) / np.exp([0, 1, 2]).sum()
+    assert all(abs(r["count"] / 4000 - share[r["id"]]) < 0.03 for r in drawn)
 
 
 def test_kth_largest(spark):
@@ -110,22 +217,30 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "k", 0) is None and quality.kth_largest(df, "k", 10**6) is None
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, None: 1}, {f"s{k}": k * k + 1 for k in range(20)}])
-def test_schedule_stays_within_one_block(weights):
-    share = mixing.shares(weights, 200)
-    plan = mixing.schedule(share)
-    period = len(plan)
-    assert mixing.worst_deviation(plan, share) < 1
-    for slot, (s, k) in enumerate(plan):
-        assert Fraction(k * period, share[s]) // 1 <= slot < -(-(k + 1) * period // share[s])
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 4, "b": 2, "c": 1}, {"a": 5, "b": 3, None: 1}, {"a": 300, "b": 200, "c": 77}, {"a": 7919, "b": 1}, {f"s{k}": k * k + 1 for k in range(20)}, {"hot": 5000, **{f"s{k}": 300 + 7 * k for k in range(40)}}])
+def test_schedule_stays_within_one_block_of_the_weights_as_given(weights):
+    total, periods = sum(weights.values()), 1 if sum(weights.values()) > 3000 else 20
+    blocks = {s: periods * w for s, w in weights.items()}
+    plan = list(mixing.schedule(weights, blocks))
+    assert [slot for slot, _, _ in plan] == list(range(periods * total))
+    assert mixing.worst_deviation(plan, weights) < 1
+    for slot, s, k in plan:
+        assert Fraction(k * total, weights[s]) // 1 <= slot < -(-(k + 1) * total // weights[s])
+
+
+def test_a_source_that_runs_out_leaves_its_slots_empty():
+    plan = list(mixing.schedule({"a": 1, "b": 1}, {"a": 2, "b": 5}))
+    assert [s for s, _, _ in plan] == [0, 1, 2, 3, 4, 6, 8] and sorted(plan, key=lambda p: p[2])[-1][1] == "b"
 
 
 def test_mix_keeps_all_rows(spark):
     rows = [(i, "big" if i % 3 else "small", f"t{i}") for i in range(500)] + [(None, "big", "x"), (None, "big", "x"), (7, None, "y"), (7, None, "y")]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, source string, text string, mix_slot int")
-    got = mixing.mix(spark, df, block_rows=4, resolution=10).collect()
-    assert len(got) == len(rows)
+    df = spark.createDataFrame([(*r, 5, "mine", 9, 7) for r in rows], "doc_id long, source string, text string, mix_slot int, mix_key string, mix_rank int, __key int")
+    got = mixing.mix(spark, df, block_rows=4).collect()
+    assert len(got) == len(rows) and {(r["mix_key"], r["mix_rank"], r["__key"]) for r in got} == {("mine", 9, 7)}
     assert len({(r["mix_slot"], r["mix_place"]) for r in got}) == len(rows)
+    few = mixing.mix(spark, df, {"big": 3, "small": 2, None: 1}, block_rows=4, max_blocks=20).collect()
+    assert len(few) == len(rows) and len({r["mix_slot"] for r in few}) <= 23
     with pytest.raises(ValueError):
         mixing.mix(spark, df, {"big": 1}).count()
     assert mixing.mix(spark, df.limit(0)).count() == 0
