@@ -36,15 +36,24 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources interleave at their target weights."""
-    return mixing.mix(spark, docs).orderBy("mix_slot", "mix_place").select(docs.columns)
+    """All documents, in the order in which sources interleave at their target weights.
+
+    Written, the order is that of the files' names and of the rows in them.
+    """
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return mixing.mix(spark, docs, prefix=prefix).orderBy(f"{prefix}slot", f"{prefix}place").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their sequences and offsets."""
+    """Pieces of the documents' tokens with their sequences and offsets; sequences are numbered in the mixed order.
+
+    That order is read from the files' names and rows; documents that are in no files have none.
+    """
     import public_tokenizers
 
-    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), in_file_order=packing.in_files(docs))
 
 
 STAGES = [
