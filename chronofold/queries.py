@@ -6,20 +6,26 @@ around zero (so that ties and signs occur), large ones become nulls.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold import config
 from chronofold.extract import extract_features
 from chronofold.operators import post
 from chronofold.settings import DynamicGroupBySettings, ExtractionSettings, FeatureSetting
-from chronofold.sources.readers import read_table
+from chronofold.sources.readers import from_rows, read_csv, read_stations, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 VALUE = "CASE WHEN value <= 400 THEN floor(value - 50) END"
+#: A second series, with nulls in other rows.
+OTHER = "CASE WHEN event_id % 7 <> 0 THEN floor(value / 3) - 40 END"
+CONFIG = str(Path(__file__).with_name("sample.toml"))
 
 
 def rounded(df: DataFrame, keys: list[str], digits: int = DIGITS) -> DataFrame:
@@ -77,9 +83,9 @@ def _freq(key: str) -> str:
     return f", z AS (SELECT {key}, x, count(*) AS f, any_value(n) AS n FROM r GROUP BY {key}, x)"
 
 
-def feature_sql(name: str, key: str) -> str:
-    """The feature's default columns over the series of ``events`` by ``key``."""
-    p = config.defaults()[name]
+def feature_sql(name: str, key: str, parameters: list[dict] | None = None) -> str:
+    """The feature's columns (with default parameters) over the series of ``events`` by ``key``."""
+    p = config.defaults()[name] if parameters is None else parameters
     lead = lambda k: "x" if k == 0 else f"lead(x, {k}) OVER w"
     plain: dict[str, dict[str, str]] = {
         "length": {"length": "count(x)"},
@@ -174,7 +180,100 @@ def _set(setting: FeatureSetting, keys: list[str], values: Callable[[SparkSessio
 
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _series(spark, sf_dir).select("user_id", "ts", "event_id", "value", (F.col("value") * 2).alias("twice"))
+    both = read_table(spark, sf_dir, "events").withColumn("other", F.expr(OTHER).cast("double")).withColumn("value", F.expr(VALUE).cast("double"))
+    return both.select("user_id", "ts", "event_id", "value", "other")
+
+
+def _two_sql(name: str) -> str:
+    """The feature of the second series."""
+    return feature_sql(name, "user_id").replace(VALUE, OTHER).replace('"value__', '"other__')
+
+
+def _windowed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered features inside windows: the whole Efficient set."""
+    settings = ExtractionSettings(["event_type"], ["value"], FeatureSetting.Efficient, dynamic_settings=DynamicGroupBySettings("ts", "10d", "10d"), order_cols=["ts", "event_id"])
+    return rounded(extract_features(_series(spark, sf_dir), settings), ["event_type", "ts"])
+
+
+def _windowed_sql() -> str:
+    days = "CAST(floor(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 10.0) AS INTEGER) * 10"
+    source = f"FROM (SELECT *, event_type || '@' || ({days}) AS slot FROM events))"
+    return _joined_sql([feature_sql(n, "slot").replace("FROM events)", source) for n in config.defaults()], "slot").replace("SELECT *", "SELECT split_part(slot, '@', 1) AS event_type, DATE '1970-01-01' + CAST(split_part(slot, '@', 2) AS INTEGER) AS ts, * EXCLUDE (slot)", 1)
+
+
+def _joined_sql(parts: list[str], key: str) -> str:
+    named = [f"({p}) AS t{k}" for k, p in enumerate(parts)]
+    return "SELECT * FROM " + " JOIN ".join([named[0], *(f"{p} USING ({key})" for p in named[1:])])
+
+
+def _half_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows below a day, shifted, as text: engines name their kinds of timestamps in their own ways."""
+    settings = ExtractionSettings(["event_type"], ["value"], FeatureSetting.Minimal, dynamic_settings=DynamicGroupBySettings("ts", "12h", "12h", "3h"), order_cols=["ts", "event_id"])
+    found = extract_features(read_table(spark, sf_dir, "events"), settings, features={n: [{}] for n in ("length", "mean", "maximum")})
+    return rounded(found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), ["event_type", "ts"])
+
+
+def _configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = ExtractionSettings(["event_type"], ["value"], config_path=CONFIG, order_cols=["ts", "event_id"])
+    return rounded(extract_features(_series(spark, sf_dir), settings), ["event_type"])
+
+
+def _written(df: DataFrame, **options: str | bool) -> str:
+    """``df`` as CSV below the warehouse, which all executors share, until the interpreter ends."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/chronofold-csv-{uuid.uuid4().hex[:12]}"
+    df.write.options(**options).csv(path)
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(remove)
+    return path
+
+
+def _csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a header line, rows with any null dropped, rows filtered."""
+    path = _written(_two(spark, sf_dir).select("user_id", "value", "other"), header=True)
+    df = read_csv(spark, path, "user_id long, value double, other double", drop_nulls=True).where("value > -20")
+    settings = ExtractionSettings(["user_id"], ["value", "other"], FeatureSetting.Minimal)
+    return rounded(extract_features(df, settings, features={n: [{}] for n in ("length", "mean", "minimum")}), ["user_id"])
+
+
+def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``location;temperature`` without a header."""
+    e = read_table(spark, sf_dir, "events")
+    df = read_stations(spark, _written(e.select("event_type", "value"), sep=";"))
+    settings = ExtractionSettings(["location"], ["temperature"], FeatureSetting.Minimal)
+    return rounded(extract_features(df, settings, features={n: [{}] for n in ("length", "mean", "minimum", "maximum")}), ["location"])
+
+
+#: Groups a (several values), b (one value), c (none).
+ROWS = [("a", 1.0), ("a", 4.0), ("b", 2.5), ("a", 2.0), ("c", None)]
+POINTS = [(1, 0.0, 0.5), (2, 9.0, 9.5), (3, 0.5, 0.0), (4, 9.5, 9.0), (5, 0.2, 0.2), (6, 9.1, 9.1), (7, None, 1.0)]
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = from_rows(spark, ROWS, "id string, val double")
+    return rounded(extract_features(df, ExtractionSettings(["id"], ["val"], order_cols=["ord"]), features={n: [{}] for n in ("length", "mean", "standard_deviation", "mean_change")}), ["id"])
+
+
+def _no_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undefined features become nulls, and columns that hold one fall out."""
+    return post.drop_null_columns(post.nan_to_null(_rows(spark, sf_dir).where("id <> 'c'"), ["id"]), ["id"])
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two clusters that lie far apart, each named by its least id."""
+    found = post.kmeans(from_rows(spark, POINTS, "id long, x double, y double"), ["x", "y"], 2)
+    return found.select("id", F.min("id").over(Window.partitionBy("cluster")).alias("cluster"))
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming flag has no effect."""
+    settings = ExtractionSettings(["user_id"], ["value"], FeatureSetting.Minimal, order_cols=["ts", "event_id"])
+    return rounded(extract_features(_series(spark, sf_dir), settings, streaming=True), ["user_id"])
 
 
 def _windows(every: str, period: str, offset: str = "0", text: bool = False) -> Query:
@@ -272,6 +371,18 @@ def queries() -> dict[str, Query]:
         "dyn_1mo_of_3mo": _windows("1mo", "3mo"),
         "dyn_7d": _windows("7d", "7d"),
         "dyn_1w": _windows("1w", "1w"),
+        "dyn_gap": _windows("2mo", "1mo"),
+        "dyn_offset_3mo": _windows("1y", "1y", "3mo"),
+        "dyn_offset_2d": _windows("7d", "7d", "2d"),
+        "dyn_12h": _half_days,
+        "dyn_10d_efficient": _windowed_set,
+        "config_file": _configured,
+        "csv_drop_nulls_filter": _csv_header,
+        "csv_stations": _stations,
+        "frame_of_rows": _rows,
+        "post_drop_null_columns": _no_null_columns,
+        "post_kmeans": _clusters,
+        "streaming_flag": _flagged,
         "feat_sample_entropy": _sample_entropy,
         "multi_key": _multi_key,
         "all_null_group": _all_null,
@@ -287,8 +398,24 @@ def oracle_sql() -> dict[str, str]:
     out = {f"feat_{n}": feature_sql(n, "event_type" if n in BY_TYPE else "user_id") for n in config.defaults()}
     minimal = {"length": "count(x)", "sum_values": "sum(x)", "mean": "avg(x)", "?median": MID, "minimum": "min(x)", "maximum": "max(x)", "standard_deviation": "stddev_samp(x)", "variance": "var_samp(x)", "skewness": "avg((x - mu) ** 3) / nullif(avg((x - mu) ** 2), 0) ** 1.5", "root_mean_square": "sqrt(avg(x * x))"}
     out["set_minimal"] = _sql("user_id", minimal)
-    parts = [f"({feature_sql(n, 'user_id')}) AS t{k}" for k, n in enumerate(config.defaults())]
-    out["set_efficient"] = "SELECT * FROM " + " JOIN ".join([parts[0], *(f"{p} USING (user_id)" for p in parts[1:])])
+    out["streaming_flag"] = out["set_minimal"]
+    first = [feature_sql(n, "user_id") for n in config.defaults()]
+    out["set_efficient"] = _joined_sql(first, "user_id")
+    out["set_efficient_two_values"] = _joined_sql([*first, *(_two_sql(n) for n in config.defaults() if n != "length")], "user_id")
+    out["dyn_10d_efficient"] = _windowed_sql()
+    out["dyn_gap"] = _windows_sql("make_date(m // 12, m % 12 + 1, 1)", "WHERE m % 2 = 0")
+    out["dyn_offset_3mo"] = _windows_sql(_months(12, 3))
+    out["dyn_offset_2d"] = _windows_sql("DATE '1970-01-01' + CAST(floor((days - 2) / 7.0) AS INTEGER) * 7 + 2")
+    out["dyn_12h"] = "SELECT event_type, strftime(to_timestamp(floor((epoch(ts) - 10800) / 43200) * 43200 + 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS ts, count(value) AS length, round(avg(value), 6) + 0.0 AS value__mean, round(max(value), 6) + 0.0 AS value__maximum FROM events GROUP BY ALL"
+    out["config_file"] = _joined_sql([feature_sql(n, "event_type", p) for n, p in config.load(CONFIG).items()], "event_type")
+    two = f"(SELECT user_id, CAST({VALUE} AS DOUBLE) AS a, CAST({OTHER} AS DOUBLE) AS b FROM events)"
+    out["csv_drop_nulls_filter"] = f"SELECT user_id, count(a) AS length, round(avg(a), 6) + 0.0 AS value__mean, min(a) + 0.0 AS value__minimum, round(avg(b), 6) + 0.0 AS other__mean, min(b) + 0.0 AS other__minimum FROM {two} WHERE a IS NOT NULL AND b IS NOT NULL AND a > -20 GROUP BY user_id"
+    out["csv_stations"] = "SELECT event_type AS location, count(value) AS length, round(avg(value), 6) + 0.0 AS temperature__mean, min(value) AS temperature__minimum, max(value) AS temperature__maximum FROM events GROUP BY event_type"
+    nan = "'NaN'::DOUBLE"
+    out["frame_of_rows"] = f"""SELECT * FROM (VALUES ('a', CAST(3 AS BIGINT), round(CAST(7 AS DOUBLE) / 3, 6), round(sqrt(CAST(7 AS DOUBLE) / 3), 6), CAST(0.5 AS DOUBLE)),
+  ('b', 1, 2.5, {nan}, {nan}), ('c', 0, {nan}, {nan}, {nan})) AS t(id, length, val__mean, val__standard_deviation, val__mean_change)"""
+    out["post_drop_null_columns"] = "SELECT * FROM (VALUES ('a', CAST(3 AS BIGINT), round(CAST(7 AS DOUBLE) / 3, 6)), ('b', 1, 2.5)) AS t(id, length, val__mean)"
+    out["post_kmeans"] = "SELECT CAST(id AS BIGINT) AS id, CAST(cluster AS BIGINT) AS cluster FROM (VALUES (1, 1), (3, 1), (5, 1), (2, 2), (4, 2), (6, 2)) AS t(id, cluster)"
     out["dyn_1y"] = _windows_sql("make_date(year(d), 1, 1)")
     out["dyn_3y_text"] = _windows_sql(_months(36))
     out["dyn_1mo_of_3mo"] = _windows_sql("make_date((m - back) // 12, (m - back) % 12 + 1, 1)", ", (SELECT unnest([0, 1, 2]) AS back)")
@@ -322,6 +449,9 @@ p AS (
 SELECT user_id, round(CASE WHEN coalesce(m2, 0) = 0 THEN 'NaN'::DOUBLE WHEN m3 = 0 THEN 'Infinity'::DOUBLE ELSE ln(m2 / CAST(m3 AS DOUBLE)) END, 6) + 0.0 AS value__sample_entropy
 FROM g LEFT JOIN p USING (user_id)
 """
+    # the same over the series with nulls
+    rows = out["feat_sample_entropy"].replace("value AS a, lead(value, 1)", "x AS a, lead(x, 1)").replace("lead(value, 2)", "lead(x, 2)").replace("row_number() OVER w AS i FROM events", f"row_number() OVER w AS i FROM {series} WHERE x IS NOT NULL").replace("stddev_samp(value) AS r FROM events", f"stddev_samp(x) AS r FROM {series}")
+    out["set_comprehensive"] = _joined_sql([*first, rows], "user_id")
     out["empty_config"] = "SELECT DISTINCT user_id FROM events"
     columns = ("l_quantity", "l_extendedprice", "l_discount")
     stats = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "minimum": "min({0})", "maximum": "max({0})"}
