@@ -3,9 +3,10 @@
 The patterns (email, ip, card, phone) are searched in whole texts. The random
 field labels tokens by their shapes and their neighbours' shapes; it is trained
 from a small labelled table made by ``labelled_table`` and decoded by Viterbi in
-numpy batches. It sees every place of a text with a digit, an at sign or a
-spelled-out "dot", with some characters around it: elsewhere none of its kinds
-can occur. Its spans are added where no pattern matched: numbers that fail the
+numpy batches. It labels every token of a whole text. Most tokens stand so far
+outside its kinds that no transition could make up for it (``emissions``): these
+are outside on any best path, so the text may be decoded in the parts between them
+with the same result. Its spans are added where no pattern matched: numbers that fail the
 patterns' checks but stand like personal data, spelled-out addresses, phone
 numbers without a country code, and secrets.
 """
@@ -13,9 +14,10 @@ numbers without a country code, and secrets.
 from __future__ import annotations
 
 import functools
-import hashlib
+import itertools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import ship_package, table
+from chronofold.llm.common import bounded, ship_package, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -34,6 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+READ, DECODED = 1 << 19, 1 << 14  # bytes of text labelled at once; tokens decoded at once
+
 Span = tuple[int, int, str]
 
 
@@ -233,38 +237,130 @@ class Field:
                 params[j] = params[j] - 0.1 * (m[j] / (1 - 0.9**it)) / (np.sqrt(v[j] / (1 - 0.999**it)) + 1e-8)
         return cls(names, *params)
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each token sequence, by Viterbi over batches of like lengths."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sequences)
-        order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
-        k, at = len(LABELS), 0
+    @functools.cached_property
+    def tables(self) -> Tables:
+        return Tables(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def emissions(self, texts: list[list[str]], cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which tokens may be inside a span, the scores of their labels, where each text begins and the end).
+
+        A token is outside for certain if O beats every other label by more than the
+        two transitions around it can differ, whatever its neighbours are: a path
+        that had another label there would gain by taking O. Without ``cut``, all
+        tokens may be inside.
+        """
+        t, first, step = self.tables, self.first, self.step
+        gain = np.maximum((step - step[:, :1]).max(axis=0), first - first[0]) + np.maximum((step - step[:1]).max(axis=1), 0)
+        size = np.array([len(x) for x in texts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        n = int(begin[-1])
+        at = np.arange(n) + 4 * np.repeat(np.arange(len(texts)), size) + 2  # two places before and after each text
+        shapes = np.empty(n + 4 * len(texts), dtype=np.int16)
+        for k, edge in enumerate(("<2", "<1", ">1", ">2")):
+            shapes[begin[:-1] + 4 * np.arange(len(texts)) + k + (size if k > 1 else 0)] = t.shapes.get(edge, 0)
+        shapes[at] = np.fromiter((t.ids[w] for x in texts for w in x), dtype=np.int16, count=n)
+        inside, scores = np.ones(n, dtype=bool), [np.zeros((0, len(LABELS)))]
+        for k in range(0, n, 1 << 16):
+            a, b, s, d, e = (shapes[at[k : k + (1 << 16)] + j] for j in (-2, -1, 0, 1, 2))
+            score = t.before[b, s] + t.after[s, d] + t.far[0][a] + t.far[1][e] + t.threes[t.row[b, s, d]]
+            if cut:
+                inside[k : k + len(s)] = (score[:, 1:] + gain[1:] >= score[:, :1]).any(axis=1)
+                score = score[inside[k : k + len(s)]]
+            scores.append(score)
+        return inside, np.concatenate(scores), begin
+
+    def decode(self, texts: list[list[str]], cut: bool = True) -> list[np.ndarray]:
+        """Best labels of the tokens of each text, by Viterbi over batches of parts of like lengths.
+
+        The parts are the runs of tokens that may be inside a span; without ``cut``, whole texts.
+        """
+        inside, e, begin = self.emissions(texts, cut)
+        edge = np.zeros(len(inside) + 1, dtype=bool)
+        edge[begin] = True
+        starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
+        ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+        fresh, last = edge[starts], edge[ends]  # at a text's border, or beside a token that is outside
+        order = np.argsort(ends - starts, kind="stable")
+        size = (ends - starts)[order]
+        place = np.concatenate([[0], np.cumsum(inside)])[starts]  # of a part's first token among the scores
+        y = np.zeros(len(inside), dtype=np.int64)
+        at = 0
         while at < len(order):
-            batch = [order[at]]
-            at += 1
-            while at < len(order) and len(batch) < 256 and len(sequences[order[at]]) * (len(batch) + 1) <= max(20_000, len(sequences[order[at]])):
-                batch.append(order[at])
-                at += 1
-            t_max = len(sequences[batch[-1]])
-            e = np.zeros((len(batch), t_max, k))
-            for b, i in enumerate(batch):
-                for t, f in enumerate(token_features(sequences[i])):
-                    ids = [self.names[g] for g in f if g in self.names]
-                    e[b, t] = self.weights[ids].sum(axis=0)
-            best = e[:, 0] + self.first
-            come = np.zeros((len(batch), t_max, k), dtype=np.int8)
-            size = np.array([len(sequences[i]) for i in batch])
-            for t in range(1, t_max):
-                options = best[:, :, None] + self.step[None]
-                come[:, t] = options.argmax(axis=1)
-                nxt = options.max(axis=1) + e[:, t]
-                best = np.where((t < size)[:, None], nxt, best)
-            for b, i in enumerate(batch):
-                y = np.zeros(size[b], dtype=int)
-                y[-1] = best[b].argmax()
-                for t in range(size[b] - 1, 0, -1):
-                    y[t - 1] = come[b, t, y[t]]
-                out[i] = y
-        return out
+            to = min(int(np.searchsorted(size, max(16, 2 * size[at]), side="right")), at + max(1, DECODED // int(size[at])))
+            while to > at + 1 and (to - at) * size[to - 1] > 2 * DECODED:
+                to = at + (to - at + 1) // 2
+            who, n = order[at:to], size[at:to]
+            for part, labels in zip(starts[who], self._viterbi(e, place[who], n, fresh[who], last[who])):
+                y[part : part + len(labels)] = labels
+            at = to
+        return [y[a:b] for a, b in zip(begin[:-1], begin[1:])]
+
+    def _viterbi(self, e: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        rows, t_max = np.arange(len(start)), int(n.max())
+        best = e[start] + np.where(fresh[:, None], self.first, self.step[0])
+        come = np.zeros((t_max, *best.shape), dtype=np.int8)
+        for t in range(1, t_max):
+            live = t < n
+            options = best[live][:, :, None] + self.step[None]
+            come[t, live] = options.argmax(axis=1)
+            best[live] = options.max(axis=1) + e[start[live] + t]
+        y = np.zeros((len(start), t_max), dtype=np.int64)
+        label = (best + np.where(last[:, None], 0, self.step[:, 0])).argmax(axis=1)
+        y[rows, n - 1] = label
+        for t in range(t_max - 1, 0, -1):
+            live = t < n
+            label = np.where(live, come[t, rows, label], label)
+            y[live, t - 1] = label[live]
+        return [labels[:k] for labels, k in zip(y, n)]
+
+
+class ShapeIds(dict):
+    """The number of a token's shape, 0 for shapes without a weight; long tokens are not kept."""
+
+    def __init__(self, shapes: dict[str, int]):
+        super().__init__()
+        self.shapes = shapes
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self.shapes.get(token_shape(token), 0)
+        if len(token) <= 64:
+            self[token] = found
+        return found
+
+
+class Tables:
+    """A field's weights by the numbers of shapes: pairs, single shapes two places off, and the triples it knows."""
+
+    def __init__(self, field: Field):
+        singles, pairs, triples = {}, {}, {}
+        for name, at in field.names.items():
+            spaces = name.count(" ")
+            if name == "bias":
+                continue
+            kind = "-101" if spaces == 2 else name[:3] if spaces else name[: 1 if name[0] == "0" else 2]
+            into = triples if spaces == 2 else pairs if spaces else singles
+            into[kind, *name[len(kind) :].split(" ")] = field.weights[at]
+        self.shapes = {s: k for k, s in enumerate(sorted({s for key in (*singles, *pairs, *triples) for s in key[1:]}), 1)}
+        self.ids = ShapeIds(self.shapes)
+        n, k = len(self.shapes) + 1, len(LABELS)
+        single = {kind: np.zeros((n, k)) for kind in ("0", "-1", "-2", "+1", "+2")}
+        for (kind, s), w in singles.items():
+            single[kind][self.shapes[s]] = w
+        bias = field.weights[field.names["bias"]]
+        self.before = single["-1"][:, None] + single["0"][None] + bias  # the token before, the token
+        self.after = np.broadcast_to(single["+1"][None], (n, n, k)).copy()  # the token, the token after
+        for (kind, a, b), w in pairs.items():
+            (self.before if kind == "-10" else self.after)[self.shapes[a], self.shapes[b]] += w
+        self.far = single["-2"], single["+2"]
+        self.threes = np.concatenate([np.zeros((1, k)), *(w[None] for w in triples.values())])
+        self.row = np.zeros((n, n, n), dtype=np.int32)
+        for at, (_, a, b, c) in enumerate(triples, 1):
+            self.row[self.shapes[a], self.shapes[b], self.shapes[c]] = at
 
 
 @functools.cache
@@ -272,33 +368,6 @@ def trained() -> Field:
     return Field.train(labelled_table())
 
 
-NUMERIC = re.compile("[0-9@]+")
-SPELLED = re.compile(r"[ (\[]dot[ )\]]", re.I)
-BESIDE = 48
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """The places the field looks at: around digits, at signs and spelled-out dots, cut at white space."""
-    hits = [m.span() for m in NUMERIC.finditer(text)]
-    if "dot" in text or "DOT" in text:
-        hits = sorted(hits + [m.span() for m in SPELLED.finditer(text)])
-    out: list[list[int]] = []
-    for a, b in hits:
-        if out and a - BESIDE <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + BESIDE)
-        else:
-            out.append([a - BESIDE, b + BESIDE])
-    cut = []
-    for a, b in out:
-        a, b = max(0, a), min(len(text), b)
-        while a > 0 and not text[a - 1].isspace() and not text[a].isspace() and NUMERIC.match(text[a - 1]) is None and a < len(text):
-            a += 1
-            if a >= b:
-                break
-        cut.append((a, b))
-    return cut
-
-
 def plausible(kind: str, value: str) -> bool:
     """Does a span of the field hold what its kind needs?"""
     n = sum(c.isdigit() for c in value)
@@ -310,37 +379,30 @@ def plausible(kind: str, value: str) -> bool:
         return 13 <= n <= 19
     if kind == "phone":
         return 9 <= n <= 15 and not re.fullmatch("[0-9]+", value)
-    return len(value) >= 16 and n >= 1 and bool(re.search("[A-Za-z]", value))
+    return len(value) >= 16 and bool(re.search("[A-Za-z]", value))
 
 
 def find(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(pattern spans, all spans) of each text."""
-    texts = [t or "" for t in texts]
-    base = [base_spans(t) for t in texts]
-    places, sequences = [], []
-    for i, t in enumerate(texts):
-        for a, b in windows(t):
-            marks = [(m.start(), m.end()) for m in TOKEN.finditer(t, a, b)]
-            places.append((i, marks))
-            sequences.append([t[x:y] for x, y in marks])
-    extra: list[list[Span]] = [[] for _ in texts]
-    for (i, marks), y in zip(places, field.decode(sequences)):
-        t = 0
-        while t < len(y):
-            if y[t] == 0:
-                t += 1
-                continue
-            kind, begin = LABELS[y[t]][2:], t
-            t += 1
-            while t < len(y) and LABELS[y[t]] == f"I-{kind}":
-                t += 1
-            span = (marks[begin][0], marks[t - 1][1], kind)
-            if plausible(kind, texts[i][span[0] : span[1]]):
-                extra[i].append(span)
     out = []
-    for b, x in zip(base, extra):
-        new = [s for s in x if not any(s[0] < e and a < s[1] for a, e, _ in b)]
-        out.append((b, sorted(b + new, key=lambda s: (s[0], KINDS.index(s[2])))))
+    texts = [t or "" for t in texts]
+    for text, y in zip(texts, field.decode([TOKEN.findall(t) for t in texts])):
+        base, new = base_spans(text), []
+        if y.any():
+            marks = [m.span() for m in TOKEN.finditer(text)]
+            inside = np.flatnonzero(y)
+            for k, t in enumerate(inside):
+                kind = LABELS[y[t]][2:]
+                if k and inside[k - 1] == t - 1 and LABELS[y[t]] == f"I-{kind}" and new and new[-1][1] == marks[t - 1][1] and new[-1][2] == kind:
+                    new[-1] = (new[-1][0], marks[t][1], kind)
+                else:
+                    new.append((*marks[t], kind))
+        new = [s for s in new if plausible(s[2], text[s[0] : s[1]])]
+        if base and new:
+            begins, reach = [s[0] for s in base], list(itertools.accumulate((s[1] for s in base), max))
+            # no base span that begins before a new one's end may reach beyond its start
+            new = [s for s in new if not (k := bisect_left(begins, s[1])) or reach[k - 1] <= s[0]]
+        out.append((base, sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
 
@@ -370,8 +432,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for part in bounded(b, 1, READ):
                 found = find(part.column(1).to_pylist(), field)
                 columns = [pa.array([[{"kind": n, "start": a, "end": e} for a, e, n in f[j]] for f in found], spans) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "base", "spans"])
@@ -382,15 +443,18 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with all spans in ``text_col`` replaced by their kinds; null texts stay null, other columns as they are."""
+    """``docs`` with all spans in ``text_col`` replaced by their kinds.
+
+    Defined results: null texts stay null, empty ones empty; each row gives one row,
+    repeated or not; an empty table gives an empty result; other columns stay as they are.
+    """
     ship_package(docs.sparkSession)
     field = trained()
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for part in bounded(b, at, READ):
                 texts = part.column(at).to_pylist()
                 done = [t if t is None else redacted(t, f[1]) for t, f in zip(texts, find(texts, field))]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if c == at else part.column(c) for c in range(part.num_columns)], names=part.schema.names)
