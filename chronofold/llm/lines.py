@@ -1,6 +1,9 @@
 """Exact substring dedup by hashing lines and the sentences in them.
 
-Texts are cut at line ends and after sentence ends. Each unit is normalised
+Texts are cut at line ends, after sentence ends and, inside longer sentences, after
+words that their own hash picks (one in eight, at least four words on). So a passage
+that runs into its neighbours at both ends, or that is one long sentence, is cut at
+the same places wherever it stands, but for some words at its ends. Each unit is normalised
 (lower case, white space as one space, signs around it dropped) and digested to
 128 bits; digests are grouped over the whole corpus. The occurrence with the
 smallest (doc_id, offset) stays; every later one is marked. Marked units that
@@ -24,24 +27,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, table
+from chronofold.llm.common import Scratch, table, unused
 
 UNIT = re.compile(r"[^\n.!?…。！？]*(?:[.!?…]+(?![\s.!?…。！？]|\Z)[^\n.!?…。！？]*)*[.!?…。！？]*[^\S\n]*\n?")
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WORD = re.compile(r"\S+")
+LONG, LEAST, EVERY = 40, 4, 8  # characters of a sentence that may be cut; words to the next cut; one word in so many
 EDGE = " \t\"'“”‘’«»()[]{}-–—*#%&$|.,;:!?…"
 
 
+class Cuts(dict):
+    """Does a sentence end a unit after this word? By the word's own hash, without the signs around it."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 200_000:
+            self.clear()
+        cut = xxhash.xxh3_64_intdigest(word.lower().strip(EDGE).encode("utf-8", "surrogatepass")) % EVERY == 0
+        if len(word) <= 64:
+            self[word] = cut
+        return cut
+
+
+CUTS = Cuts()
+
+
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of lines, sentences, and pieces of sentences; they cover the text."""
+    for m in UNIT.finditer(text):
+        start, end = m.span()
+        if end - start >= LONG:
+            places = [(w.start(), w.end()) for w in WORD.finditer(text, start, end)]
+            since = 0
+            for (a, b), (nxt, _) in zip(places, places[1:]):
+                since += 1
+                if since >= LEAST and CUTS[text[a:b]]:
+                    yield start, nxt
+                    start, since = nxt, 0
+        if end > start:
+            yield start, end
+
+
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each unit with at least one word."""
     out = []
-    for m in UNIT.finditer(text or ""):
-        words = m[0].lower().split()
+    text = text or ""
+    for start, end in spans(text):
+        words = text[start:end].lower().split()
         plain = " ".join(words).strip(EDGE)
         if plain:
             count = len(words) if plain.isascii() else max(len(words), len(UNSPACED.findall(plain)) // 2)
-            out.append((m.start(), m.end(), count, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))))
-        elif out and out[-1][1] == m.start() and text[m.start() - 1] != "\n":  # signs at the end of a line go with its last words
-            out[-1] = (out[-1][0], m.end(), *out[-1][2:])
+            out.append((start, end, count, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))))
+        elif out and out[-1][1] == start and text[start - 1] != "\n":  # signs at the end of a line go with its last words
+            out[-1] = (out[-1][0], end, *out[-1][2:])
     return out
 
 
@@ -101,9 +138,15 @@ def repeated(spark: SparkSession, docs: DataFrame, min_words: int = 20, id_col:
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages cut out of its texts, and ``removed``: their places in the original text."""
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))  # as long as a document
-    joined = docs.drop("removed").join(lists.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    """``docs`` with the passages cut out of its texts, and ``removed``: their places in the original text.
+
+    Defined results: rows without passages, null texts and null ids stay as they are,
+    with a null ``removed``; rows that repeat an id all lose its passages; an empty table
+    gives an empty result; a column named ``removed`` is replaced, others are kept.
+    """
+    name = unused(docs.columns, "id_")
+    lists = spans.groupBy(F.col("doc_id").alias(name)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))  # as long as a document
+    joined = docs.drop("removed").join(lists, F.col(id_col).cast("long") == F.col(name), "left").drop(name)
     text = F.col(text_col)
     state = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     done = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")), state, lambda s, r: F.struct(F.concat(s["kept"], F.substring(text, s["at"].cast("int") + 1, (r["start"] - s["at"]).cast("int"))).alias("kept"), r["end"].alias("at")))
