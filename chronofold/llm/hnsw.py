@@ -161,6 +161,14 @@ def linked(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, own
     """
     found = np.zeros((len(q), len(index)), dtype=bool)
     margin = threshold - 1e-4  # the graph computes in single precision
+
+    def exact() -> np.ndarray:
+        for k in range(0, len(q), 512):
+            found[k : k + 512] = q[k : k + 512] @ index.T >= threshold
+        return found
+
+    if len(index) <= 4 * beam:  # a beam would visit most of it
+        return exact()
     rng = np.random.default_rng(3)
 
     def run(who: np.ndarray, beam: int) -> None:
@@ -179,7 +187,7 @@ def linked(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, own
 
     everyone = np.arange(len(q))
     run(everyone, beam)
-    while beam < len(index):
+    while True:
         if own:
             found |= found.T
         some = rng.choice(len(q), min(audit, len(q)), replace=False)
@@ -190,6 +198,8 @@ def linked(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, own
         if found[some][truth].sum() >= recall * truth.sum():
             break
         beam *= 2
+        if beam >= len(index):
+            return exact()
         run(everyone, beam)
     for k in range(0, len(q), 512):  # verify in double precision
         rows, columns = np.nonzero(found[k : k + 512])
@@ -199,6 +209,19 @@ def linked(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, own
     return found
 
 
+def by_root(found: np.ndarray, index: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, root, linked vectors) of each query and component of the index that it links to, some rows at a time."""
+    order = np.argsort(index["root"], kind="stable")
+    roots, starts = np.unique(index["root"][order], return_index=True)
+    copies = index["copies"][order]
+    for k in range(0, len(found), 256):
+        at = np.flatnonzero(found[k : k + 256].any(axis=1))
+        if len(at):
+            n = np.add.reduceat(found[k + at][:, order] * copies, starts, axis=1)
+            rows, columns = np.nonzero(n)
+            yield k + at[rows], roots[columns], n[rows, columns]
+
+
 def local_roots(found: np.ndarray) -> np.ndarray:
     """The smallest member of each node's component in a symmetric table of links."""
     n = len(found)
@@ -263,14 +286,17 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.9
                 found = linked(a["graph"], a["x"], b["x"], threshold, False, beam)
                 found |= linked(b["graph"], b["x"], a["x"], threshold, False, beam).T
                 for table_, q, index in ((found, b, a), (found.T, a, b)):
-                    at, to = np.nonzero(table_)
-                    got = pd.DataFrame({"id": q["ids"][at], "root": index["root"][to], "n": index["copies"][to]})
-                    yield got.groupby(["id", "root"], as_index=False)["n"].sum()[["id", "n", "root"]]
-
-    a = built.select("label", "dim", F.col("shard").alias("sa"), F.col("graph").alias("graph_a"))
-    b = built.select("label", "dim", F.col("shard").alias("sb"), F.col("graph").alias("graph_b"))
-    # rows are shards: each pair of one label's shards meets once
-    pairs = a.join(b, ["label", "dim"]).where("sa < sb").select("graph_a", "graph_b")
+                    for at, root, n in by_root(table_, index):
+                        yield pd.DataFrame({"id": q["ids"][at], "n": n, "root": root})
+
+    # rows are shards: each pair of one label's shards meets once, as numbers first; then either shard's graph is
+    # joined to it, in as many tasks as the label has shards. Even sums are turned, so that each shard is second in half its pairs
+    shard = built.select("label", "dim", "shard")
+    pairs = shard.withColumnRenamed("shard", "lo").join(shard.withColumnRenamed("shard", "hi"), ["label", "dim"]).where("lo < hi")
+    turned = (F.col("lo") + F.col("hi")) % 2 == 0
+    pairs = pairs.select("label", "dim", F.when(turned, F.col("hi")).otherwise(F.col("lo")).alias("sa"), F.when(turned, F.col("lo")).otherwise(F.col("hi")).alias("sb"))
+    a, b = (built.select("label", "dim", F.col("shard").alias(f"s{x}"), F.col("graph").alias(f"graph_{x}")) for x in "ab")
+    pairs = pairs.join(a.hint("merge"), ["label", "dim", "sa"]).join(b.hint("merge"), ["label", "dim", "sb"]).select("graph_a", "graph_b")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch, None)
     spark.conf.set(batch, "1")  # a row holds two whole shards
