@@ -1,9 +1,11 @@
 """Exact top-k inner-product search with ball trees.
 
 Rows are dealt to shards of bounded size; each shard becomes one ball tree, kept
-as one row of a table. Queries are dealt to blocks. A task meets the shards one
-after the other for a block of queries and keeps only the block's k best so far:
-the kth score found in one shard prunes the next (branch and bound with
+as one row of a table. Queries are dealt to blocks. A task meets a few shards, one
+after the other, for a block of queries, and keeps only the block's k best of them;
+the k best of a query's tasks are merged. What prunes a node is the kth score so
+far, and from the start the kth score among a sample of all rows, which no kth score
+can be below (branch and bound with
 
     max over a ball of <q, x>  <=  <q, center> + |q| * radius
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, table
@@ -66,13 +68,28 @@ def build_tree(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
 class TopK:
     """The k best (score, id) of each query of a block so far."""
 
-    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int, sample: tuple[np.ndarray, np.ndarray] | None = None):
         self.query_ids, self.q, self.k = query_ids, q, k
         self.qf = q.astype(np.float64)
         self.norm = np.sqrt((self.qf**2).sum(axis=1))
         self.exact_in_float = float(np.abs(self.qf).sum(axis=1).max(initial=0))
         self.score = np.full((len(q), k), NONE)
         self.id = np.full((len(q), k), NO_ID)
+        self.floor = np.full(len(q), NONE)
+        if sample is not None and len(sample[0]) >= k and len(q):
+            ids, x = sample
+            s = self._scores(self.q, x, float(np.abs(x).max(initial=0)))
+            s[query_ids[:, None] == ids[None, :]] = NONE
+            self.floor = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+
+    def _scores(self, q: np.ndarray, x: np.ndarray, big: float) -> np.ndarray:
+        if self.exact_in_float * big < 2.0**52:
+            return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)  # whole numbers below 2^52: exact
+        return q @ x.T
+
+    def _least(self, who: np.ndarray) -> np.ndarray:
+        """What a candidate must reach."""
+        return np.maximum(self.score[who, -1], self.floor[who])
 
     def search(self, tree: dict) -> None:
         if not len(tree["ids"]) or not len(self.q):
@@ -88,7 +105,7 @@ class TopK:
         return at + reach + 1e-6 * (1 + np.abs(at) + reach)
 
     def _visit(self, tree: dict, node: int, who: np.ndarray, bound: np.ndarray) -> None:
-        who = who[bound >= self.score[who, -1]]
+        who = who[bound >= self._least(who)]
         if not len(who):
             return
         if tree["left"][node] < 0:
@@ -106,7 +123,8 @@ class TopK:
         else:
             s = self.q[who] @ tree["x"][rows].T
         s[self.query_ids[who][:, None] == ids[None, :]] = NONE
-        new = (s >= self.score[who, -1:]).any(axis=1)
+        s[s < self.floor[who][:, None]] = NONE
+        new = (s > NONE).any(axis=1) & (s >= self.score[who, -1:]).any(axis=1)
         who, s = who[new], s[new]
         if not len(who):
             return
@@ -122,62 +140,72 @@ class TopK:
         return pd.DataFrame({"query_id": self.query_ids[at], "rank": (rank + 1).astype(np.int32), "vec_id": self.id[at, rank], "score": self.score[at, rank]})
 
 
-def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, block_rows: int = 1024, group: int = 2, sample_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but itself.
 
-    ``rows`` and ``queries`` have ``vec_id`` and ``v``, arrays of whole numbers
-    of one length. Defined results: rows with a null id, a null vector or a null
-    component take no part; vectors of another length than the first ones are an
-    error; a repeated id is a candidate with each of its vectors and one query, with the least of them;
-    ties go to the smaller id; fewer than k candidates give fewer rows; an empty
-    table gives an empty result; other columns are not read.
+    ``rows`` and ``queries`` have ``vec_id`` and ``v``, arrays of whole numbers. A
+    task meets ``group`` shards for one block of queries. Defined results: rows with a
+    null id, a null or empty vector or a null component take no part; a query's
+    candidates are the vectors of its own length; a repeated id is a candidate with
+    each of its vectors and one query, with the least of them; ties go to the smaller
+    id; fewer than k candidates give fewer rows; an empty table gives an empty result;
+    other columns are not read.
     """
     scratch = Scratch(spark, "topk")
-    usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull())
-    rows = scratch.save(rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")), "rows")
-    queries = scratch.save(queries.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")), "queries")
-    shards, blocks = (max(1, math.ceil(t.count() / n)) for t, n in ((rows, shard_rows), (queries, block_rows)))
+    usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull())
+    picked = [F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")]
+    rows = scratch.save(rows.where(usable).select(*picked).withColumn("dim", F.size("v")), "rows")
+    # a repeated query id is one query, with its least vector
+    queries = scratch.save(queries.where(usable).select(*picked).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
+    shards, blocks = ({r["dim"]: math.ceil(r["n"] / n) for r in t.groupBy("dim").agg(F.count("*").alias("n")).collect()} for t, n in ((rows, shard_rows), (queries, block_rows)))  # one row a length of vectors
+    some = rows.orderBy(F.xxhash64("vec_id", "v")).limit(sample_rows).collect()
+    samples = {d: (np.array([r["vec_id"] for r in some if r["dim"] == d], dtype=np.int64), np.array([r["v"] for r in some if r["dim"] == d], dtype=np.int64)) for d in {r["dim"] for r in some}}
 
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated query id is one query, with its least vector
+    def parts(numbers: dict[int, int]) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in numbers.items() for x in kv)), F.col("dim")), F.lit(0)) if numbers else F.lit(0)
 
-    def dealt(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
+    def dealt(df: DataFrame, numbers: dict[int, int]) -> DataFrame:
+        return df.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.greatest(parts(numbers), F.lit(1))).cast("int"))
 
     def matrix(pdf: pd.DataFrame) -> np.ndarray:
         return np.stack(pdf["v"].to_numpy()).astype(np.int64)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         made = build_tree(pdf["vec_id"].to_numpy(np.int64), matrix(pdf))
-        return pd.DataFrame({"shard": [int(pdf["part"].iloc[0])], "tree": [pickle.dumps(made, 5)]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["part"].iloc[0])], "tree": [pickle.dumps(made, 5)]})
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(pdf["part"].iloc[0])], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), matrix(pdf)), 5)]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["part"].iloc[0])], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), matrix(pdf)), 5)]})
 
-    trees = scratch.save(dealt(rows, shards).groupBy("part").applyInPandas(tree, "shard int, tree binary"), "trees")
-    asked = scratch.save(dealt(queries, blocks).groupBy("part").applyInPandas(block, "block int, queries binary"), "blocks")
+    trees = scratch.save(dealt(rows, shards).groupBy("dim", "part").applyInPandas(tree, "dim int, shard int, tree binary"), "trees")
+    asked = scratch.save(dealt(queries, blocks).groupBy("dim", "part").applyInPandas(block, "dim int, block int, queries binary"), "blocks")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, at = None, None
         for pdf in batches:
-            for b, q, t in zip(pdf["block"], pdf["queries"], pdf["tree"]):
-                if b != at:
+            for d, b, g, q, t in zip(pdf["dim"], pdf["block"], pdf["part"], pdf["queries"], pdf["tree"]):
+                if (d, b, g) != at:
                     if state is not None:
                         yield state.rows()
-                    at, state = b, TopK(*pickle.loads(q), k)
+                    at, state = (d, b, g), TopK(*pickle.loads(q), k, samples.get(d))
                 state.search(pickle.loads(t))
         if state is not None:
             yield state.rows()
 
     # every block of queries meets every shard: that is the search's definition; rows are blocks and shards, not vectors
-    each = asked.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    met = each.join(trees, "shard").repartition(blocks, "block").sortWithinPartitions("block", "shard").select("block", "queries", "tree")
+    each = asked.withColumn("shards", parts(shards)).where("shards > 0").select("dim", "block", "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    tasks = sum(n * math.ceil(shards.get(d, 0) / group) for d, n in blocks.items())
+    met = each.join(trees, ["dim", "shard"]).withColumn("part", F.expr(f"shard div {group}")).repartition(max(1, min(tasks, 100_000)), "dim", "block", "part")
+    met = met.sortWithinPartitions("dim", "block", "part", "shard").select("dim", "block", "part", "queries", "tree")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch, None)
     spark.conf.set(batch, "2")  # a row holds a whole shard
     try:
-        return scratch.save(met.mapInPandas(search, "query_id long, rank int, vec_id long, score long"), "found")
+        found = scratch.save(met.mapInPandas(search, "query_id long, rank int, vec_id long, score long"), "found")
     finally:
         spark.conf.unset(batch) if before is None else spark.conf.set(batch, before)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a task of the query
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def op2_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
