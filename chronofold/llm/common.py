@@ -98,14 +98,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int, hub: int) -> DataFrame:
+    """``edges(u, v)`` with ``m`` of ``least(u, m, n)``; nodes of over ``hub`` edges are joined by a broadcast.
+
+    There are at most ``2 * total / hub`` of these, so the broadcast is bounded, and a
+    node of any degree stays spread over the tasks that its edges are in.
+    """
+    if total <= hub:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = least.where(F.col("n") > hub)
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return rest.select("u", "v", "m").union(edges.join(F.broadcast(hubs.select("u", "m")), "u").select("u", "v", "m"))
+
+
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, hub: int = 1_000_000) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as ``(id, root)``.
 
     Alternates the large-star and small-star steps until every node hangs
     directly below the smallest id it can reach. Ids without an edge to another
-    id do not appear. Each step is a partial-aggregable minimum and one join, so
-    a node of any degree is never gathered in one task; each round is written to
-    the shared folder, which ends its lineage.
+    id do not appear. Each step is a partially aggregated minimum and a join in
+    which nodes of over ``hub`` edges (or a thousandth of all) keep to the tasks of
+    their edges; each round is written to the shared folder, which ends its lineage.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.save(e, "cc-0")
@@ -114,12 +127,13 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         state = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("nu")).first()
         if state["n"] == 0 or (state["n"] == state["nu"] and e.select("v").join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0):
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        total, most = state["n"], max(hub, state["n"] // 1000)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, low, total, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"cc-large-{k}")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, total, most).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         nxt = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"cc-{k + 1}")
         scratch.drop(f"cc-{k}", f"cc-large-{k}")
         e, k = nxt, k + 1
