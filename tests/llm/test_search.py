@@ -21,17 +21,29 @@ def brute_top_k(rows, queries, k):
     return sorted(out)
 
 
+@pytest.mark.parametrize("sample", [0, 50])
 @pytest.mark.parametrize("scale", [3, 10**8])  # many ties; products beyond exact doubles
-def test_top_k_matches_brute_force(spark, scale):
+def test_top_k_matches_brute_force(spark, scale, sample):
     rng = np.random.default_rng(0)
     rows = [(i, list(map(int, rng.integers(-scale, scale + 1, 5)))) for i in range(300)]
     df = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, v array<long>, part int, tree string")
     nulls = spark.createDataFrame([(None, [1] * 5), (900, None), (901, [1, None, 1, 1, 1])], "vec_id long, v array<long>")
     both = df.unionByName(nulls, allowMissingColumns=True)
-    got = topk.top_k(spark, both, both.where("vec_id % 20 = 0"), k=4, shard_rows=64, block_rows=6)
+    got = topk.top_k(spark, both, both.where("vec_id % 20 = 0"), k=4, shard_rows=32, block_rows=6, sample_rows=sample)
     assert rows_of(got) == brute_top_k(rows, [r for r in rows if r[0] % 20 == 0], 4)
 
 
+def test_top_k_of_vectors_of_several_lengths(spark):
+    rows = [(i, [i, 1, 2][: 1 + i % 3]) for i in range(60)] + [(100, []), (101, None), (7, [5, 5]), (7, [5, 5])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    own = [(i, v) for i, v in rows if v]
+    asked = {}
+    for i, v in own:
+        asked[i] = min(asked.get(i, v), v)
+    want = [r for i, v in asked.items() for r in brute_top_k([(j, w) for j, w in own if len(w) == len(v)], [(i, v)], 3)]
+    assert rows_of(topk.top_k(spark, df, df, k=3, shard_rows=5, block_rows=4, sample_rows=9)) == sorted(want)
+
+
 def test_top_k_few_or_no_rows(spark):
     few = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, v array<long>")
     assert rows_of(topk.top_k(spark, few, few, k=20)) == [(0, 1, 1, 11), (1, 1, 0, 11)]
@@ -50,6 +62,20 @@ def test_graph_finds_neighbours():
     assert recall >= 0.9
 
 
+def test_dense_and_small_shards_lose_no_link():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=8) + rng.normal(size=(600, 8)) * 0.05  # most pairs link
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in (5, 200, 600):
+        g = hnsw.Graph(x[:n], beam=8)
+        found = hnsw.linked(g, x[:n], x[:n], 0.98, True, beam=8)
+        truth = x[:n] @ x[:n].T >= 0.98
+        assert (found | found.T)[truth].mean() >= 0.999 and not found[~truth].any()
+    index = {"root": np.array([4, 4, 9, 4, 9]), "copies": np.array([1, 2, 3, 4, 5])}
+    got = [(int(q), int(r), int(n)) for at in hnsw.by_root(np.array([[1, 0, 0, 1, 1], [0, 0, 0, 0, 0], [1, 1, 1, 1, 1]], dtype=bool), index) for q, r, n in zip(*at)]
+    assert got == [(0, 4, 5), (0, 9, 5), (2, 4, 7), (2, 9, 8)]
+
+
 def brute_links(rows):
     links = {i: set() for i, _, _ in rows}
     for i, v, a in rows:

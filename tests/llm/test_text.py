@@ -116,6 +116,61 @@ def test_random_field_on_held_out_rows():
     assert right / sum(len(s) for _, s in held) >= 0.9 and right / sum(map(len, found)) >= 0.95
 
 
+#: Written by hand, not made by the table's rules: text and what is personal in it.
+BY_HAND = [
+    ("Reach Anna under anna.schmidt@firma-gmbh.de before Friday.", [("email", "anna.schmidt@firma-gmbh.de")]),
+    ("My address is jane dot doe at mail dot example dot com, thanks!", None),
+    ("write to info at example dot org please", [("email", "info at example dot org")]),
+    ("The server answers on 192.168.17.4 most days.", [("ip", "192.168.17.4")]),
+    ("Call me: +49 170 1234 567 after six.", [("phone", "+49 170 1234 567")]),
+    ("Call (212) 555-0147 or come by.", [("phone", "(212) 555-0147")]),
+    ("Her number, 415-555-0133, is new.", [("phone", "415-555-0133")]),
+    ("Paid with 4111 1111 1111 1111 yesterday.", [("card", "4111 1111 1111 1111")]),
+    ("card 4929-1234-5678-9012 was refused", [("card", "4929-1234-5678-9012")]),
+    ('token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', [("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b")]),
+    ("api_key: 5ebe2294ecd0e0f08eab7690d2a6ee69", [("secret", "5ebe2294ecd0e0f08eab7690d2a6ee69")]),
+    ("In 1999 the town had 23,417 people and 2 mills.", []),
+    ("Version 3.11.2 came out on 2023-02-08, see page 14.", []),
+    ("He ran 10 km in 45:30, at 4.5 minutes each.", []),
+    ("Connect the dots. Dot by dot, at last, a face.", []),
+    ("They met at ten and left at noon; nothing else happened.", []),
+    ("Sections 2.1 and 2.2 cost 30% of 1,250 dollars.", []),
+    ("El niño nació en 1984 y vive en la calle Mayor 17.", []),
+]
+
+
+def test_random_field_on_rows_written_by_hand():
+    rows = [(t, w) for t, w in BY_HAND if w is not None]
+    found = [{(k, t[a:b]) for a, b, k in x} for (t, _), (_, x) in zip(rows, pii.find([t for t, _ in rows], pii.trained()))]
+    right, want, got = sum(len(set(w) & f) for (_, w), f in zip(rows, found)), sum(len(w) for _, w in rows), sum(map(len, found))
+    assert right / want >= 0.9 and right / got >= 0.9, [(t, f) for (t, w), f in zip(rows, found) if set(w) != f]
+
+
+def test_decoding_matches_brute_force():
+    """Viterbi against all label sequences, with weights looked up by name; decoding in parts against whole texts."""
+    from itertools import product
+
+    field = pii.trained()
+    for tokens in (["mail", "at", "a"], ["+", "49", "170"], ["x"], ["@", "b", ".", "com"], ["the", "key", "deadbeef00deadbeef00"]):
+        e = np.array([field.weights[[field.names[g] for g in f if g in field.names]].sum(axis=0) for f in pii.token_features(tokens)])
+        inside, scores, _ = field.emissions([tokens], cut=False)
+        assert inside.all() and np.allclose(scores, e)
+
+        def score(y, e=e):
+            return field.first[y[0]] + sum(e[t, k] for t, k in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:]))
+
+        best = max(product(range(len(pii.LABELS)), repeat=len(tokens)), key=score)
+        for cut in (True, False):
+            assert np.isclose(score(field.decode([tokens], cut)[0]), score(best))
+    rng = np.random.default_rng(4)
+    words = ["the", "of", ".", "at", "dot", "@", "12", "4111", "-", "+", "(", "Dot", "key", "=", "a1b2c3d4e5f6a7b8c9", "word", "Word", ","]
+    texts = [list(rng.choice(words, rng.integers(0, 60), p=[0.2, 0.2, 0.1] + [0.5 / 15] * 15)) for _ in range(300)]
+    inside, _, begin = field.emissions(texts)
+    assert 0 < inside.mean() < 1
+    for a, b in zip(field.decode(texts), field.decode(texts, cut=False), strict=True):
+        assert (a == b).all()
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "Call +1 (017) 555-7713 or st.34@mail7.example.com, version 2.0 of 1999"), (2, None), (3, ""), (None, "at 10.0.0.1 now"), (5, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (6, "word " * 50000)]
     df = spark.createDataFrame([(i, t, 9, "s") for i, t in rows], "doc_id long, text string, n_chars long, spans string")
