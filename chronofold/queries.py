@@ -449,9 +449,10 @@ p AS (
 SELECT user_id, round(CASE WHEN coalesce(m2, 0) = 0 THEN 'NaN'::DOUBLE WHEN m3 = 0 THEN 'Infinity'::DOUBLE ELSE ln(m2 / CAST(m3 AS DOUBLE)) END, 6) + 0.0 AS value__sample_entropy
 FROM g LEFT JOIN p USING (user_id)
 """
-    # the same over the series with nulls
+    # a null counts as not a number in the entropy, and makes it one
     rows = out["feat_sample_entropy"].replace("value AS a, lead(value, 1)", "x AS a, lead(x, 1)").replace("lead(value, 2)", "lead(x, 2)").replace("row_number() OVER w AS i FROM events", f"row_number() OVER w AS i FROM {series} WHERE x IS NOT NULL").replace("stddev_samp(value) AS r FROM events", f"stddev_samp(x) AS r FROM {series}")
-    out["set_comprehensive"] = _joined_sql([*first, rows], "user_id")
+    whole = f"SELECT user_id, CASE WHEN nulls > 0 THEN 'NaN'::DOUBLE ELSE value__sample_entropy END AS value__sample_entropy FROM ({rows}) JOIN (SELECT user_id, count(*) - count(x) AS nulls FROM {series} GROUP BY user_id) USING (user_id)"
+    out["set_comprehensive"] = _joined_sql([*first, whole], "user_id")
     out["empty_config"] = "SELECT DISTINCT user_id FROM events"
     columns = ("l_quantity", "l_extendedprice", "l_discount")
     stats = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "minimum": "min({0})", "maximum": "max({0})"}
