@@ -11,6 +11,7 @@ from pathlib import Path
 
 DEFAULT_PATH = ".chronofold.toml"
 
+# The names of the features, in the order of their columns.
 MINIMAL = ["length", "sum_values", "mean", "median", "minimum", "maximum", "standard_deviation", "variance", "skewness", "root_mean_square"]
 EFFICIENT = [
     "kurtosis", "absolute_energy", "mean_absolute_change", "linear_trend", "variance_larger_than_standard_deviation", "ratio_beyond_r_sigma", "large_standard_deviation", "symmetry_looking",
