@@ -47,7 +47,7 @@ def unused(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def bounded(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``size`` bytes of text in a string column; a single longer text is one slice."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0

@@ -25,7 +25,7 @@ among the first ``n - ceil(t * n) + 1`` of each (their heads). How often shingle
 occur is counted in a table of hashed counters, which decides the order only.
 Under such a key, first a few partners a set are compared, at last all pairs of
 sets that aren't connected yet. A pair of these leaves its task under one key
-only, and only if its sizes and its sketches (shingles counted in 256
+only, and only if its sizes and its sketches (shingles counted in
 parts of the hash space, which bounds what two sets can share) allow t. Every pair
 is verified on its whole sets.
 """
@@ -49,7 +49,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (shift, width)
 COUNTERS = 1 << 18  # hashed counters of shingles
 ROUNDS = (("golay", 4), ("head", 8), ("head", None))  # where pairs of sets meet, and with how many partners each is compared
 CLOSE = 16  # differing bits of 64, at most, for pairs that meet under a Golay key
-PARTS, LOW, NO_KEY = 256, 8, -(2**63)
+PARTS, LOW, NO_KEY = 128, 4, -(2**63)
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the (23, 12) Golay code
 
 
@@ -156,8 +156,8 @@ def set_fingerprint(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """How many of the hashes are in each of 256 parts of the hash space, modulo 16, two counts in a byte."""
-    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS) & 15
+    """How many of the hashes are in each of ``PARTS`` parts of the hash space, modulo 16, two counts in a byte."""
+    counts = np.bincount((hashes % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) & 15
     return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
 
 
@@ -466,7 +466,7 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
                 yield pairs_of(rows, i, j)
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sketch as 16 longs."""
+        """The sketch as longs."""
         for b in batches:
             longs = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), dtype=np.int64).reshape(-1, PARTS // 16)
             columns = [*b.columns[:-1], *(pa.array(c) for c in longs.T.copy())]
@@ -475,19 +475,23 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     def sorted_by_key(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "n", "print")
 
-    edges = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "id long, root long")  # what is connected so far; ids that are their own root aren't in it
+
+    def rooted_by(found: DataFrame, end: str) -> DataFrame:
+        return found.join(roots.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+
     for k, (where, most) in enumerate(ROUNDS):
         if where == "golay":
             met_rows = sorted_by_key(known.where("n > 0").select("n", "print", "fp").mapInArrow(keyed, "key long, n long, print long, fp long, root long"))
             pairs = met_rows.mapInArrow(near, "a long, b long")
         else:
-            roots = components(spark, edges, Scratch(spark, f"similar-{k}"))
             rooted = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
             rows = keys.join(rooted, "print").select("key", "n", "print", "place", "root")
             if most is None:  # only keys that still part something matter, and then a set's sketch and its least keys
                 rows = scratch.save(rows, "rooted")
                 live = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
                 rows = scratch.save(rows.join(live, "key", "left_semi"), "live")
+                scratch.drop("rooted", "keys")
                 low = rows.groupBy("print").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))  # a set's head is bounded by its text
                 least = [F.coalesce(F.get("low", F.lit(c)), F.lit(NO_KEY)).alias(f"low{c}") for c in range(LOW)]
                 extra = low.join(known.select("print", "sketch"), "print").select("print", *least, "sketch")
@@ -497,6 +501,8 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         if most is not None:  # the partners of the most shared keys
             pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("nth") <= most)
         pairs = scratch.save(pairs.select("a", "b"), f"pairs-{k}")
+        if most is None:
+            scratch.drop("live")
         if pairs.isEmpty():
             continue
         need = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct().join(reps, "print")
@@ -505,9 +511,13 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         full = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
         found = full.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
         found = found.join(reps.select(F.col("print").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("print").alias("b"), F.col("rep").alias("v")), "b")
-        edges = edges.union(scratch.save(found.select("u", "v"), f"edges-{k}"))
+        found = scratch.save(found.select("u", "v"), f"edges-{k}")
+        # links between what was connected before: a small graph of roots, whose own roots replace them
+        more = components(spark, rooted_by(rooted_by(found, "u"), "v").select("u", "v"), Scratch(spark, f"similar-{k}"))
+        moved = roots.join(more.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+        roots = scratch.save(moved.union(more), f"roots-{k}")
         scratch.drop(f"pairs-{k}", f"sets-{k}")
-    return _classes(spark, fps, ["print"], reps, edges, scratch)
+    return _classes(spark, fps, ["print"], reps, roots.select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
