@@ -92,7 +92,7 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/records")
+    ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(f"{path}/records")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +120,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, shard, start, n_tokens, ids) of all records; every checksum is verified.
 
     A whole read goes through the files in order, where they lie; only the number
-    of tokens in each shard comes from the index.
+    of tokens in each shard comes from the index. Defined results: records without
+    an id have a null one, repeated ids come as often as written, no records give an
+    empty table; a damaged record is an error.
     """
     totals = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     # one row per shard, so this window over all of them stays small
@@ -148,7 +150,9 @@ def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids) of the documents in ``wanted(doc_id)``, by their places in the index.
 
     For shuffled reads of a part of the corpus: only the shards that hold such a
-    document are opened, and only its frame is decoded.
+    document are opened, and only its frame is decoded. Defined results: null and
+    unknown ids give no row, an id that is asked for twice is read once, a repeated
+    id gives all its records.
     """
     index = spark.read.parquet(f"{path}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     lists = index.groupBy("shard").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # as long as a shard at most

@@ -198,7 +198,10 @@ def _forest(fp: np.ndarray, rep: np.ndarray, bits: int) -> list[tuple[int, int]]
 
 
 def links(spark: SparkSession, reps: DataFrame, scratch: Scratch, bits: int = 2, bucket: int = 1024) -> DataFrame:
-    """Edges (u, v) between the ids of ``reps(fp, rep)``, distinct fingerprints, that connect what links connect."""
+    """Edges (u, v) between the ids of ``reps(fp, rep)``, distinct fingerprints, that connect what links connect.
+
+    No rows, or none that link, give no edges; nulls don't occur in ``reps``.
+    """
     if bits > 2:
         raise ValueError("the Golay keys guarantee pairs of up to two differing bits")
 

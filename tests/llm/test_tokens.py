@@ -85,7 +85,9 @@ def test_frames():
 def test_records_round_trip(spark):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in ROWS], "doc_id long, text string, shard int, ids int")
     path = Scratch(spark, "t").path("tokens")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")  # must not break shards up
     records.write_records(spark, df, path, WORD, 1, shard_bytes=1000)
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     got = sorted(records.read_records(spark, path).collect(), key=lambda r: r["start"])
     want = [(i, [*plain(WORD)(t), 1]) for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
     start = 0
