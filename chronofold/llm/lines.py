@@ -1,7 +1,7 @@
 """Exact substring dedup by hashing lines and the sentences in them.
 
 Texts are cut at line ends, after sentence ends and, inside longer sentences, after
-words that their own hash picks (one in eight, at least four words on). So a passage
+words that their own hash picks (one in twelve, at least six words on). So a passage
 that runs into its neighbours at both ends, or that is one long sentence, is cut at
 the same places wherever it stands, but for some words at its ends. Each unit is normalised
 (lower case, white space as one space, signs around it dropped) and digested to
@@ -32,7 +32,7 @@ from chronofold.llm.common import Scratch, table, unused
 UNIT = re.compile(r"[^\n.!?…。！？]*(?:[.!?…]+(?![\s.!?…。！？]|\Z)[^\n.!?…。！？]*)*[.!?…。！？]*[^\S\n]*\n?")
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 WORD = re.compile(r"\S+")
-LONG, LEAST, EVERY = 40, 4, 8  # characters of a sentence that may be cut; words to the next cut; one word in so many
+LONG, LEAST, EVERY = 100, 6, 12  # characters of a sentence that may be cut; words to the next cut; one word in so many
 EDGE = " \t\"'“”‘’«»()[]{}-–—*#%&$|.,;:!?…"
 
 
@@ -82,15 +82,15 @@ def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
-def lines_of(text: str | None, cuts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, bytes]]:
-    """(start, digest) of the line that each of the text's ``units`` is in."""
-    out, upto, line = [], -1, (0, b"")
+def lines_of(text: str | None, cuts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """(start, 64-bit digest) of the line that each of the text's ``units`` is in; it is asked for repeated units only."""
+    out, upto, line = [], -1, (0, 0)
     for start, *_ in cuts:
         if start >= upto:
             begin = text.rfind("\n", 0, start) + 1
             upto = text.find("\n", start) + 1 or len(text)
             plain = " ".join(text[begin:upto].lower().split()).strip(EDGE)
-            line = begin, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+            line = begin, xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
         out.append(line)
     return out
 
@@ -116,18 +116,22 @@ def repeated(spark: SparkSession, docs: DataFrame, min_words: int = 20, id_col:
                     us = units(t)
                     rows += [(d, n, *u, *line) for n, (u, line) in enumerate(zip(us, lines_of(t, us) if whole_lines else [(None, None)] * len(us)))]
                 columns = list(zip(*rows)) or [()] * 8
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "nth", "start", "end", "words", "digest", "line_start", "line"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    cuts = scratch.save(own.mapInArrow(cut, "doc_id long, nth int, start int, end int, words int, digest binary, line_start int, line binary"), "units")
+    cuts = scratch.save(own.mapInArrow(cut, "doc_id long, nth int, start int, end int, words int, digest binary, line_start int, line long"), "units")
     firsts = cuts.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    later = cuts.join(scratch.save(firsts, "firsts"), "digest").where("doc_id <> first_doc_id or start <> first_start").drop("digest").distinct()
-    later = later.withColumn("whole", F.lit(False))
+    later = cuts.join(scratch.save(firsts, "firsts"), "digest").where("doc_id <> first_doc_id or start <> first_start").drop("digest")
+    whole = F.lit(False)
     if whole_lines:
         place = F.struct("doc_id", "line_start")
         kept = cuts.groupBy("line").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("line", "kept")
-        later = later.join(scratch.save(kept, "lines"), "line", "left").withColumn("whole", F.coalesce(place != F.col("kept"), F.lit(False)))
+        later = later.join(scratch.save(kept, "lines"), "line", "left")
+        whole = F.coalesce(place != F.col("kept"), F.lit(False))
+    # one exchange by document, for rows that repeat an id and for the runs below
+    columns = ("doc_id", "nth", "start", "end", "words", "first_doc_id", "first_start")
+    later = later.select(*columns, whole.alias("whole")).repartition("doc_id").distinct()
     # units of one document that follow each other keep the same difference
     order = Window.partitionBy("doc_id").orderBy("nth", "start")
     runs = later.withColumn("run", F.col("nth") - F.row_number().over(order))
