@@ -200,12 +200,17 @@ def test_passages_that_run_into_their_neighbours_are_found(spark):
     assert outside < 0.02 * sum(len(t) for _, t in rows)
 
 
+def test_query_matches_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_words"]) for r in lines.op9_line_hashing(spark, SF).collect()) == brute_repeats(rows, 20)
+
+
 def test_lines_match_plain_grouping(spark):
     """Whole lines against a dictionary of normalised lines, made without the module's units."""
     edge = " \t\"'“”‘’«»()[]{}-–—*#%&$|.,;:!?…"
     rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     spans, seen, later = {}, set(), 0
-    for r in lines.op9_line_hashing(spark, SF).collect():
+    for r in lines.repeated(spark, spark.read.parquet(f"{SF}/documents.parquet"), whole_lines=True).collect():
         spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
     for d, text in rows:
         at = 0
@@ -241,9 +246,9 @@ def test_scripts_without_spaces_are_cut_and_counted():
     assert [w for _, _, w, _ in lines.units(text)] == [5, 5, 5, 5]
 
 
-def test_query_removes_every_repeated_line(spark):
+def test_every_repeated_line_goes_on_request(spark):
     spans, seen = {}, set()
-    for r in lines.op9_line_hashing(spark, SF).collect():
+    for r in lines.repeated(spark, spark.read.parquet(f"{SF}/documents.parquet"), whole_lines=True).collect():
         spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
     later = 0
     for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
