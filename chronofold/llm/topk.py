@@ -1,9 +1,11 @@
 """Exact top-k inner-product search with ball trees.
 
 Rows are dealt to shards of bounded size; each shard becomes one ball tree, kept
-as one row of a table. Queries are dealt to blocks. A task meets a few shards, one
-after the other, for a block of queries, and keeps only the block's k best of them;
-the k best of a query's tasks are merged. What prunes a node is the kth score so
+as one row of a table. Queries are dealt to blocks. Shards are dealt to a few lanes and
+blocks to hands; a task reads the shards of a lane, one after the other, for the
+blocks of a hand, and keeps only each query's k best of them; the k best of a query's
+tasks are merged. So tasks, and what they hand on for a query, are bounded, and no
+pair of a block and a shard is ever written. What prunes a node is the kth score so
 far, and from the start the kth score among a sample of all rows, which no kth score
 can be below (branch and bound with
 
@@ -65,6 +67,14 @@ def build_tree(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> dict:
     return {"ids": ids[order], "x": x[order], "center": np.array(center), "radius": np.array(radius), "lo": lo, "hi": hi, "left": left, "right": right}
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them all."""
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= x.min(initial=0) and x.max(initial=0) <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
+
+
 class TopK:
     """The k best (score, id) of each query of a block so far."""
 
@@ -140,11 +150,12 @@ class TopK:
         return pd.DataFrame({"query_id": self.query_ids[at], "rank": (rank + 1).astype(np.int32), "vec_id": self.id[at, rank], "score": self.score[at, rank]})
 
 
-def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, block_rows: int = 1024, group: int = 2, sample_rows: int = 2048) -> DataFrame:
+def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, block_rows: int = 1024, group: int = 2, sample_rows: int = 2048, lanes: int = 8, tasks: int = 1024, hand: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but itself.
 
-    ``rows`` and ``queries`` have ``vec_id`` and ``v``, arrays of whole numbers. A
-    task meets ``group`` shards for one block of queries. Defined results: rows with a
+    ``rows`` and ``queries`` have ``vec_id`` and ``v``, arrays of whole numbers. There
+    are at most ``lanes`` lanes, of ``group`` shards or more, and ``tasks`` tasks, or as
+    many more as keep it to some ``hand`` blocks a task. Defined results: rows with a
     null id, a null or empty vector or a null component take no part; a query's
     candidates are the vectors of its own length; a repeated id is a candidate with
     each of its vectors and one query, with the least of them; ties go to the smaller
@@ -157,8 +168,12 @@ def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20,
     rows = scratch.save(rows.where(usable).select(*picked).withColumn("dim", F.size("v")), "rows")
     # a repeated query id is one query, with its least vector
     queries = scratch.save(queries.where(usable).select(*picked).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
-    shards, blocks = ({r["dim"]: math.ceil(r["n"] / n) for r in t.groupBy("dim").agg(F.count("*").alias("n")).collect()} for t, n in ((rows, shard_rows), (queries, block_rows)))  # one row a length of vectors
-    some = rows.orderBy(F.xxhash64("vec_id", "v")).limit(sample_rows).collect()
+    counts = [{r["dim"]: r["n"] for r in t.groupBy("dim").agg(F.count("*").alias("n")).collect()} for t in (rows, queries)]  # one row a length of vectors
+    shards, blocks = ({d: math.ceil(n / most) for d, n in c.items()} for c, most in zip(counts, (shard_rows, block_rows)))
+    # the sample is written first: collected directly, each task would send as many rows to the driver
+    drawn = math.ceil(min(1.0, 4 * sample_rows / max(1, sum(counts[0].values()))) * 2**30)
+    some = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(2**30)) < drawn).orderBy(F.xxhash64("vec_id", "v")).limit(sample_rows)
+    some = scratch.save(some, "sample").collect()
     samples = {d: (np.array([r["vec_id"] for r in some if r["dim"] == d], dtype=np.int64), np.array([r["v"] for r in some if r["dim"] == d], dtype=np.int64)) for d in {r["dim"] for r in some}}
 
     def parts(numbers: dict[int, int]) -> Column:
@@ -172,31 +187,38 @@ def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20,
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         made = build_tree(pdf["vec_id"].to_numpy(np.int64), matrix(pdf))
+        made["x"] = narrow(made["x"])
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["part"].iloc[0])], "tree": [pickle.dumps(made, 5)]})
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["part"].iloc[0])], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), matrix(pdf)), 5)]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["part"].iloc[0])], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), narrow(matrix(pdf))), 5)]})
 
     trees = scratch.save(dealt(rows, shards).groupBy("dim", "part").applyInPandas(tree, "dim int, shard int, tree binary"), "trees")
     asked = scratch.save(dealt(queries, blocks).groupBy("dim", "part").applyInPandas(block, "dim int, block int, queries binary"), "blocks")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, at = None, None
+        states, at, met = {}, None, None
         for pdf in batches:
-            for d, b, g, q, t in zip(pdf["dim"], pdf["block"], pdf["part"], pdf["queries"], pdf["tree"]):
-                if (d, b, g) != at:
-                    if state is not None:
-                        yield state.rows()
-                    at, state = (d, b, g), TopK(*pickle.loads(q), k, samples.get(d))
-                state.search(pickle.loads(t))
-        if state is not None:
+            for d, n, b, t, q in zip(pdf["dim"], pdf["shard"], pdf["block"], pdf["tree"], pdf["queries"]):
+                if (d, n) != at:
+                    at, met = (d, n), pickle.loads(t)
+                    met["x"] = met["x"].astype(np.int64)
+                if (d, b) not in states:
+                    ids, v = pickle.loads(q)
+                    states[d, b] = TopK(ids, v.astype(np.int64), k, samples.get(d))
+                states[d, b].search(met)
+        for state in states.values():
             yield state.rows()
 
-    # every block of queries meets every shard: that is the search's definition; rows are blocks and shards, not vectors
-    each = asked.withColumn("shards", parts(shards)).where("shards > 0").select("dim", "block", "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    tasks = sum(n * math.ceil(shards.get(d, 0) / group) for d, n in blocks.items())
-    met = each.join(trees, ["dim", "shard"]).withColumn("part", F.expr(f"shard div {group}")).repartition(max(1, min(tasks, 100_000)), "dim", "block", "part")
-    met = met.sortWithinPartitions("dim", "block", "part", "shard").select("dim", "block", "part", "queries", "tree")
+    def spread(df: DataFrame, number: str, n: int) -> DataFrame:
+        return df.repartitionById(n, F.pmod(F.hash("dim").cast("long") + F.col(number), F.lit(n)).cast("int")).hint("shuffle_replicate_nl")
+
+    # every block of queries meets every shard: that is the search's definition. The product has a task for each lane and
+    # hand, which streams the lane's shards past the hand's blocks; both are shuffled once, and pairs exist only in passing
+    n_lanes = max(1, min(lanes, math.ceil(sum(shards.values()) / group)))
+    n_blocks = sum(blocks.values())
+    n_hands = max(1, min(n_blocks, max(tasks // n_lanes, math.ceil(n_blocks / hand))))
+    met = spread(trees, "shard", n_lanes).join(spread(asked, "block", n_hands), "dim").select("dim", "shard", "block", "tree", "queries")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch, None)
     spark.conf.set(batch, "2")  # a row holds a whole shard
@@ -204,7 +226,7 @@ def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 20,
         found = scratch.save(met.mapInPandas(search, "query_id long, rank int, vec_id long, score long"), "found")
     finally:
         spark.conf.unset(batch) if before is None else spark.conf.set(batch, before)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a task of the query
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a lane
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

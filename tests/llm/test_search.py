@@ -50,6 +50,47 @@ def test_top_k_few_or_no_rows(spark):
     assert topk.top_k(spark, few.limit(0), few.limit(0)).count() == 0
 
 
+def stages_of(spark, group, run):
+    """The last attempts of the stages that ``run`` ran in."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = sc.statusTracker()
+    ran = sorted({s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)})
+    return out, [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in ran]
+
+
+def test_top_k_of_many_shards_and_blocks_has_a_bounded_number_of_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, list(map(int, rng.integers(-9, 10, 4)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    queries = [r for r in rows if r[0] % 20 == 0]
+    want = brute_top_k(rows, queries, 4)
+    got, stages = stages_of(spark, "many", lambda: rows_of(topk.top_k(spark, df, df.where("vec_id % 20 = 0"), k=4, shard_rows=3, block_rows=1)))
+    assert got == want
+    assert 50 < max(s.numTasks() for s in stages) <= 1024  # 200 shards and 30 blocks: 3,000 in twos
+    assert rows_of(topk.top_k(spark, df, df.where("vec_id % 20 = 0"), k=4, shard_rows=3, block_rows=1, lanes=3, tasks=6)) == want  # several blocks a task
+    assert rows_of(topk.top_k(spark, df, df.where("vec_id % 20 = 0"), k=4, shard_rows=3, block_rows=1, lanes=1, tasks=1, hand=7)) == want
+
+
+def test_top_k_sends_the_driver_one_sample_however_many_tasks_read(spark):
+    df = spark.range(20_000).selectExpr("id as vec_id", "transform(sequence(1, 8), k -> pmod(hash(id, k), 100)) as v").repartition(16)
+    most = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "32k")  # a task a file
+    try:
+        got, stages = stages_of(spark, "sample", lambda: topk.top_k(spark, df, df.where("vec_id % 20 = 0 and vec_id < 400"), k=3).count())
+    finally:
+        spark.conf.set(most, before)
+    assert got == 60
+    assert max(s.numTasks() for s in stages) >= 16
+    assert max(s.resultSize() for s in stages) < 1_000_000  # 2,048 rows of some 120 bytes, and the tasks' figures
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24))
