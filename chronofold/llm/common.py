@@ -9,9 +9,12 @@ costs a re-read and never a recomputation from memory that is gone.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.ship import ship_package
 
-__all__ = ["Scratch", "bounded", "components", "delete_path", "shared_dir", "ship_package", "table", "unused"]
+__all__ = ["Scratch", "bounded", "components", "delete_path", "shared_dir", "ship_package", "table", "tidy", "unused"]
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +63,26 @@ def bounded(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator
         at = to
 
 
+def release() -> None:
+    """Give the system back the memory that Arrow and the C library hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, which gives memory back at its end: workers serve many tasks, and what each leaves adds up."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system API; missing ones are fine."""
     jvm = spark.sparkContext._jvm
@@ -65,6 +90,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go as each ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Written intermediate tables of one operator call, below the shared folder."""
 
@@ -78,8 +117,9 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back: its lineage ends here."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` and return it as read back: its lineage ends here, and so do the files that it shuffled."""
+        with shuffles_removed(df.sparkSession):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

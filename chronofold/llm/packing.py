@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, table
+from chronofold.llm.common import Scratch, table, tidy
 from chronofold.llm.tokens import encoder
 
 
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int) -
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
-    return docs.mapInArrow(run, f"{PIECE}, {PLACE}, first long, nth long")
+    return docs.mapInArrow(tidy(run), f"{PIECE}, {PLACE}, first long, nth long")
 
 
 def file_place() -> list[Column]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import bounded, ship_package, table
+from chronofold.llm.common import bounded, ship_package, table, tidy
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -459,7 +459,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 done = [t if t is None else redacted(t, f[1]) for t, f in zip(texts, find(texts, field))]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if c == at else part.column(c) for c in range(part.num_columns)], names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.common import Scratch, bounded, table, unused
+from chronofold.llm.common import Scratch, bounded, table, tidy, unused
 
 BUCKETS = 1 << 13
 WORDS_KEPT = 250_000
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str
 
     # the sample's size is a parameter, so it may be broadcast
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", F.when(~F.col("held"), F.col("good")).alias("good"))
-    sums = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # one row per bucket
+    sums = marked.mapInArrow(tidy(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # one row per bucket
     raw, target = np.zeros(TABLES * BUCKETS), np.zeros(TABLES * BUCKETS)
     for at, r, t in sums:
         raw[at], target[at] = r, t
@@ -142,7 +142,7 @@ def log_weights(docs: DataFrame, weights: np.ndarray, text_col: str, to: str, pa
                 w = passage * np.bincount(doc, weights=weights[at], minlength=part.num_rows) / n.clip(1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w)], names=[*part.schema.names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def separation(weight: np.ndarray, good: np.ndarray) -> float:
@@ -201,7 +201,8 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | N
     rows with null ids are judged by their text; rows with equal keys at the cut stay
     together; without ``k`` and without good labels, or without bad ones, nothing is
     rejected; an empty table gives an empty result; columns of ``docs`` named like the
-    added ones are replaced when ``columns`` is not given.
+    added ones are replaced when ``columns`` is not given. ``docs`` is read two times, and
+    once more with the result if that has the texts.
     """
     scratch = Scratch(spark, "quality")
     sample = scratch.save(label_sample(labels, fit_rows), "labels")
@@ -209,18 +210,22 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | N
     kept = [c for c in (columns or docs.columns) if c not in ("log_weight", "gumbel_key")]
     inside, own_id = unused([*docs.columns, "log_weight", "gumbel_key"], "text_"), unused([*docs.columns, "log_weight", "gumbel_key"], "id_")
     own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(inside), F.col(id_col).cast("long").alias(own_id))
-    scored = log_weights(own, weights, inside, "log_weight", passage)
     key = F.col("log_weight") + gumbel(F.col(own_id), seed=seed)
-    scored = scratch.save(scored.withColumn("gumbel_key", key).drop(inside), "scored")
+    rows = log_weights(own, weights, inside, "log_weight", passage).withColumn("gumbel_key", key).drop(inside)
+    if text_col in kept:  # texts aren't written once more: each is scored again, with the same result, when the rows are read
+        alone = log_weights(own.select(inside, own_id), weights, inside, "log_weight", passage)
+        scored = scratch.save(alone.withColumn("gumbel_key", key).drop(inside), "scored")
+    else:
+        rows = scored = scratch.save(rows, "scored")
     if k is None:
         held = scored.select(F.col(own_id).alias("doc_id"), "log_weight").join(F.broadcast(sample.where("held or good = 0")), "doc_id")
         known = held.groupBy("doc_id").agg(F.avg("log_weight").alias("w"), F.min("good").alias("good")).select("w", "good").toPandas()  # one row a labelled id of a bounded sample
         cut = separation(known["w"].to_numpy(float), known["good"].to_numpy(int) == 1)
         k = scored.where(F.col("log_weight") >= cut).count()
     elif scored.count() <= k:
-        return scored.drop(own_id)
+        return rows.drop(own_id)
     least = kth_largest(scored.select("gumbel_key"), "gumbel_key", k)
-    return scored.where(F.lit(False) if least is None else F.col("gumbel_key") >= least).drop(own_id)
+    return rows.where(F.lit(False) if least is None else F.col("gumbel_key") >= least).drop(own_id)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

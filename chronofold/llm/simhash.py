@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, components, table, unused
+from chronofold.llm.common import Scratch, components, table, tidy, unused
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (shift, width)
 COUNTERS = 1 << 18  # hashed counters of shingles
@@ -389,7 +389,7 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = scratch.save(own.mapInArrow(printed, "doc_id long, print long, n long, fp long, sketch binary, counts binary"), "prints")
+    both = scratch.save(own.mapInArrow(tidy(printed), "doc_id long, print long, n long, fp long, sketch binary, counts binary"), "prints")
     fps = both.where("counts is null").select("doc_id", "print")
     known = both.where("counts is null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     known = scratch.save(known, "reps")
@@ -422,7 +422,7 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names=["key", "n", "print", "place"])
 
     kind = "key long, n long, print long, place long"
-    keys = own.where("doc_id is not null").mapInArrow(heads, kind).repartition("key").sortWithinPartitions("key", "n", "print", "place")
+    keys = own.where("doc_id is not null").mapInArrow(tidy(heads), kind).repartition("key").sortWithinPartitions("key", "n", "print", "place")
     keys = scratch.save(keys.mapInArrow(shared, kind), "keys")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,10 +509,10 @@ def similar(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         if pairs.isEmpty():
             continue
         need = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct().join(reps, "print")
-        sets = own.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets_of, "print long, hashes binary")
+        sets = own.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(sets_of), "print long, hashes binary")
         sets = scratch.save(sets.join(need.select("print"), "print", "left_semi").dropDuplicates(["print"]), f"sets-{k}")
         full = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
-        found = full.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        found = full.select("a", "b", "x", "y").mapInArrow(tidy(verified), "a long, b long")
         found = found.join(reps.select(F.col("print").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("print").alias("b"), F.col("rep").alias("v")), "b")
         found = scratch.save(found.select("u", "v"), f"edges-{k}")
         # links between what was connected before: a small graph of roots, whose own roots replace them

@@ -1,9 +1,12 @@
 """SimHash and line dedup against brute force."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronofold.llm import lines, simhash
-from chronofold.llm.common import Scratch, components
+from chronofold.llm.common import CLEANUP, Scratch, components
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +48,23 @@ def test_components_of_chains_and_stars(spark):
         assert {r["id"]: r["root"] for r in got} == {i: r for i, r in want.items() if i != r}
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    counts = spark.range(2000).groupBy((F.col("id") % 100).alias("g")).count()
+    before, held, scratch = shuffle_files(spark), spark.conf.get(CLEANUP), Scratch(spark, "t")
+    for name in ("once", "again"):
+        saved = scratch.save(counts, name)
+        until = time.time() + 10
+        while (left := shuffle_files(spark) - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left and spark.conf.get(CLEANUP) == held
+    assert saved.count() == counts.count() == 100
+
+
 def test_links_with_small_and_large_keys(spark):
     rng = np.random.default_rng(1)
     fps = [int(x) for x in rng.integers(0, 1 << 62, 60)]

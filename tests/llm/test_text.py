@@ -201,6 +201,20 @@ def test_quality_rows(spark):
     assert quality.resample(spark, docs, none, k=2).count() >= 2 and quality.resample(spark, docs, none, k=99).count() == 5
 
 
+def test_resampling_writes_no_texts(spark, monkeypatch):
+    from chronofold.llm.common import Scratch
+
+    save, tables = Scratch.save, []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: tables.append(df) or save(self, df, name))
+    docs = spark.createDataFrame([(i % 50, f"w{i % 7} w{i % 11} w{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for k in (None, 20, 99):
+        out = quality.resample(spark, docs, labels, k=k)
+        few = quality.resample(spark, docs, labels, k=k, columns=["doc_id"])
+        assert sorted(out.drop("text").collect()) == sorted(few.collect()) and out.select("text").exceptAll(docs.select("text")).isEmpty()
+    assert tables and not any(kind == "string" for df in tables for _, kind in df.dtypes)
+
+
 def brute_grams(text):
     """Buckets of a text's n-grams, one by one, by the formulas of the module."""
     import zlib
