@@ -6,12 +6,13 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from chronofold.llm import packing, records
+from chronofold.llm import common, packing, records
 from chronofold.llm.common import Scratch
 from chronofold.llm.tokens import encoder
 
@@ -102,6 +103,31 @@ def test_records_round_trip(spark):
     assert records.read_records(spark, empty).count() == 0
 
 
+def test_records_tasks_bound_and_give_back_memory(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    path, given, plain_map = Scratch(spark, "t").path("tokens"), [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *rest: given.append(run) or plain_map(self, run, *rest))
+    records.write_records(spark, df, path, WORD, 1)
+    records.read_records(spark, path)
+    records.read_at(spark, path, df)
+    released = []
+    monkeypatch.setattr(common, "release", lambda: released.append(1))
+    frames, places, fetch, fetch_at = given
+    texts = [f"text {k} " * 2500 for k in range(400)]  # some 9 MB in one batch
+    out = list(frames(iter([pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])])))
+    assert len(released) == 1 and max(b.num_rows for b in out) * min(map(len, texts)) <= 4 << 20
+    data = b"".join(f + b"\n" for b in out for f in b.column(0).to_pylist())
+    files = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([data], pa.binary())], names=["shard", "content"])
+    index = [r for b in places(iter([files])) for r in b.to_pylist()]
+    got = [r for b in fetch(iter([files])) for r in b.to_pylist()]
+    some = pa.RecordBatch.from_arrays([files.column(1), pa.array([[index[k]["offset"] for k in (0, 399)]])], names=["content", "offsets"])
+    at = [r for b in fetch_at(iter([some])) for r in b.to_pylist()]
+    assert len(released) == 4
+    want = [ids + (1).to_bytes(4, "little") for ids in encoder(WORD).encode_all(texts)]
+    assert [r["ids"] for r in got] == want and [r["doc_id"] for r in index] == list(range(400))
+    assert [(r["doc_id"], r["ids"]) for r in at] == [(0, want[0]), (399, want[399])]
+
+
 def one_by_one(lengths, capacity):
     rooms, bins = [], 0
     for n in sorted(lengths, reverse=True):
