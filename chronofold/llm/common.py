@@ -27,6 +27,9 @@ from chronofold.functions.ship import ship_package
 __all__ = ["Scratch", "bounded", "components", "delete_path", "shared_dir", "ship_package", "table", "tidy", "unused"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What a worker's tasks remember for the tasks after them, by name: how it is forgotten.
+REMEMBERED: dict[str, Callable[[], object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,11 +73,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, for mapInArrow, which gives memory back at its end: workers serve many tasks, and what each leaves adds up."""
+def forget(but: str | None) -> None:
+    """Forget what this worker's tasks remember, but for what is called ``but``."""
+    for name, clear in REMEMBERED.items():
+        if name != but:
+            clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, which gives memory back at its end: workers serve many tasks, and what each leaves adds up.
+
+    What tasks of other operators remember is forgotten before it begins; ``keeps`` names what ``run`` itself remembers.
+    """
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
@@ -91,17 +105,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries inside go as each ends; else they stay until the driver happens to collect its garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting ``key`` is ``value`` for the queries inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(key, before)
 
 
 class Scratch:
@@ -116,9 +130,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back: its lineage ends here, and so do the files that it shuffled."""
-        with shuffles_removed(df.sparkSession):
+    def save(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back: its lineage ends here, and so do the files that it shuffled.
+
+        These go as the write ends; else they stay until the driver happens to collect its garbage. Python functions
+        get at most ``batch`` rows at once, where it is given.
+        """
+        spark = df.sparkSession
+        with setting(spark, CLEANUP, "true"), setting(spark, BATCH, str(batch)) if batch else contextlib.nullcontext():
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -28,8 +28,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, table, tidy
-from chronofold.llm.tokens import encoder
+from chronofold.llm.common import Scratch, bounded, table, tidy
+from chronofold.llm.tokens import CACHE_ENTRIES, encoder
 
 
 class CapacityTree:
@@ -112,25 +112,25 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, list[tuple[int,
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACE = "file long, name string, row long"
+ROWS, READ = 2000, 4 << 20  # documents that a task gets at once; bytes of text that it cuts at once
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, remembered: int = CACHE_ENTRIES) -> DataFrame:
     """Every document's ids in pieces: its first piece takes the remainder, the others are full.
 
     ``docs`` has doc_id, text and its place (file, name, row). ``first`` is the row
     of the first document that the task has of the file, ``nth`` counts the pieces
-    of one length from there.
+    of one length from there. ``remembered`` bounds the tokenizer's cache.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, remembered), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         now, first, seen = None, 0, [0] * (capacity + 1)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "file", "name", "row", "first", "nth"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
+            for b in bounded(whole, 1, READ):
                 rows = []
                 for doc_id, ids, file, name, row in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), *(b.column(c).to_pylist() for c in (2, 3, 4))):
                     if file is None:  # no order is asked for: any distinct place will do
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int) -
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
-    return docs.mapInArrow(tidy(run), f"{PIECE}, {PLACE}, first long, nth long")
+    return docs.mapInArrow(tidy(run, "tokens"), f"{PIECE}, {PLACE}, first long, nth long")
 
 
 def file_place() -> list[Column]:
@@ -172,18 +172,19 @@ def numbered(scratch: Scratch, rows: DataFrame, by: list[str], name: str) -> Dat
     return files.join(F.broadcast(bases), ["file", "name"]).withColumn("number", F.col("base") + F.col("row")).drop("file", "name", "row", "base")
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", in_file_order: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", in_file_order: bool = False, remembered: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     With ``in_file_order``, ``docs`` is read from written files and sequences are
-    numbered in their order. Defined results: null text is an empty one; without
+    numbered in their order. A worker remembers the ids of ``remembered`` pieces of
+    text: fewer take less memory and more time. Defined results: null text is an empty one; without
     ``end_id`` an empty text has no piece; rows with null or repeated ids are packed
     like any other; an empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(spark, "packing")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(file_place() if in_file_order else (F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in PLACE.split(", "))))
     # written once: a piece's place in its task's count must not change between its uses
-    cut = scratch.save(pieces(own, tokenizer, end_id, capacity), "pieces")
+    cut = scratch.save(pieces(own, tokenizer, end_id, capacity, remembered), "pieces", batch=ROWS)
     part = ["length", "file", "name", "first"]
     counts = cut.groupBy(part).agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("file", "name", "first")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.common import Scratch, bounded, table, tidy, unused
+from chronofold.llm.common import REMEMBERED, Scratch, bounded, table, tidy, unused
 
 BUCKETS = 1 << 13
 WORDS_KEPT = 250_000
@@ -60,6 +60,7 @@ class Words(dict):
 
 
 WORDS = Words()
+REMEMBERED["words"] = WORDS.clear
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str
 
     # the sample's size is a parameter, so it may be broadcast
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", F.when(~F.col("held"), F.col("good")).alias("good"))
-    sums = marked.mapInArrow(tidy(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # one row per bucket
+    sums = marked.mapInArrow(tidy(count, "words"), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # one row per bucket
     raw, target = np.zeros(TABLES * BUCKETS), np.zeros(TABLES * BUCKETS)
     for at, r, t in sums:
         raw[at], target[at] = r, t
@@ -142,7 +143,7 @@ def log_weights(docs: DataFrame, weights: np.ndarray, text_col: str, to: str, pa
                 w = passage * np.bincount(doc, weights=weights[at], minlength=part.num_rows) / n.clip(1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w)], names=[*part.schema.names, to])
 
-    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run, "words"), T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def separation(weight: np.ndarray, good: np.ndarray) -> float:

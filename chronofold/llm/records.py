@@ -91,7 +91,7 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(tidy(frames), "frame binary").select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(f"{path}/records")
+    ordered.mapInArrow(tidy(frames, "tokens"), "frame binary").select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(f"{path}/records")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,7 +106,7 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
                     at = nxt
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((),) * 6)], names=["shard", "doc_id", "offset", "length", "tokens_before", "n_tokens"])
 
-    index = _files(spark, path).mapInArrow(tidy(places), "shard long, doc_id long, offset long, length long, tokens_before long, n_tokens long")
+    index = _files(spark, path).mapInArrow(tidy(places, "tokens"), "shard long, doc_id long, offset long, length long, tokens_before long, n_tokens long")
     index.write.mode("overwrite").parquet(f"{path}/index")
 
 
@@ -140,7 +140,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         before += len(ids) // 4
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]), pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "shard", "before", "n_tokens", "ids"])
 
-    read = _files(spark, path).mapInArrow(tidy(fetch), "doc_id long, shard long, before long, n_tokens long, ids binary")
+    read = _files(spark, path).mapInArrow(tidy(fetch, "tokens"), "doc_id long, shard long, before long, n_tokens long, ids binary")
     # the query's digests are taken before the join, so that the ids themselves are not moved for them
     return read.withColumn("ids_crc32", F.crc32("ids")).join(bases, "shard").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
 
@@ -163,7 +163,7 @@ def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 rows = [read_frame(data, at)[:2] for at in offsets]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) // 4 for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return _files(spark, path).join(lists, "shard").select("content", "offsets").mapInArrow(tidy(fetch), "doc_id long, n_tokens long, ids binary")
+    return _files(spark, path).join(lists, "shard").select("content", "offsets").mapInArrow(tidy(fetch, "tokens"), "doc_id long, n_tokens long, ids binary")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ through the library whole.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import sys
@@ -25,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from chronofold.llm.common import REMEMBERED
+
 #: White space for Python but not for the tokenizers' patterns, or the other way round.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
 ODD_ASCII = "\x1c\x1d\x1e\x1f"
@@ -73,7 +76,7 @@ class _Cache(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.space = chr(self.letters[32])
@@ -86,7 +89,7 @@ class Encoder:
         strict = any(a["content"].split() != [a["content"]] or a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added)
         self.kind = "" if strict else self._kind(made)
         self.split = BYTE_SPLIT if self.kind == "byte" else WORD_SPLIT
-        self.cache = _Cache(self._make)
+        self.cache = _Cache(self._make, entries)
 
     @staticmethod
     def _kind(made: dict) -> str:
@@ -202,6 +205,15 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One encoder in a worker process at a time, with its cache."""
-    return Encoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    """One encoder in a worker process at a time, with its cache of ``entries`` pieces."""
+    return Encoder(path, entries)
+
+
+def drop_encoder() -> None:
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its cache hold each other
+
+
+REMEMBERED["tokens"] = drop_encoder

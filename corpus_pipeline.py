@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from chronofold.llm import mixing, packing, pii, quality, simhash
 from chronofold.llm.common import Scratch, table
 
+#: Pieces of text whose ids a worker of the last stage remembers: a JVM that has done the stages before leaves it less memory.
+REMEMBERED = 200_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones draws."""
@@ -53,7 +56,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     import public_tokenizers
 
-    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), in_file_order=packing.in_files(docs))
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), in_file_order=packing.in_files(docs), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -1,8 +1,10 @@
 """Token records and packing: round trips, damage, brute force."""
 
 import functools
+import weakref
 import zlib
 from bisect import bisect_left, insort
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -180,3 +182,41 @@ def test_pack(spark):
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=key) == sorted(want, key=key)
     assert len(held) == one_by_one([w[3] for w in want], 512)[0]
     assert packing.pack(spark, df.limit(0), BYTE).count() == 0
+
+
+def test_workers_forget_what_other_operators_remembered():
+    from chronofold.llm import quality, tokens
+
+    def task(keeps):
+        return list(common.tidy(lambda batches: batches, keeps)(iter([1])))
+
+    common.forget(None)
+    encoder(BYTE).encode("some words")
+    cache = weakref.ref(encoder(BYTE).cache)
+    quality.features(pa.array(["some words"]))
+    assert task("tokens") == [1] and len(cache()) == 2 and not quality.WORDS
+    quality.features(pa.array(["some words"]))
+    assert task("words") == [1] and cache() is None and len(quality.WORDS) == 2 and not tokens.encoder.cache_info().currsize
+    encoder(BYTE)
+    assert task(None) == [1] and not quality.WORDS and not tokens.encoder.cache_info().currsize
+
+
+def test_packing_tasks_bound_memory(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id doc_id", "repeat(concat('text ', id, ' '), 2000) text", "cast(null as long) file", "cast(null as string) name", "cast(null as long) row")
+    given, sizes, before = [], [], spark.conf.get(common.BATCH)
+
+    class Sized:
+        def encode_all(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [b"1234"] * len(texts)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, run, *rest: given.append(run))
+        m.setattr(packing, "encoder", lambda path, entries: Sized() if (path, entries) == (BYTE, 1000) else None)
+        m.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+        packing.pieces(df, BYTE, 0, 2048, 1000)
+        assert sum(b.num_rows for b in given[0](iter(df.toArrow().combine_chunks().to_batches()))) == 600
+    assert max(sizes) <= 4 << 20 and sum(sizes) > 8 << 20
+    rows = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r["n"] for r in Scratch(spark, "t").save(rows, "few", batch=packing.ROWS).collect()) == packing.ROWS
+    assert spark.conf.get(common.BATCH) == before and max(r["n"] for r in rows.collect()) == 5000
