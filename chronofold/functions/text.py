@@ -80,8 +80,8 @@ def _function(name: str):
     return lambda *args: call(name, *(col(a) if isinstance(a, str) else a for a in args))
 
 
-abs, avg, ceil, coalesce, count, floor, isnan, kurtosis, lead, max, median, min, regr_intercept, regr_slope, row_number, skewness, sqrt, stddev_samp, sum, try_divide, var_samp = (  # noqa: A001
-    _function(n) for n in ("abs", "avg", "ceil", "coalesce", "count", "floor", "isnan", "kurtosis", "lead", "max", "median", "min", "regr_intercept", "regr_slope", "row_number", "skewness", "sqrt", "stddev_samp", "sum", "try_divide", "var_samp")
+abs, avg, ceil, coalesce, count, covar_samp, floor, isnan, kurtosis, lead, max, median, min, regr_intercept, regr_slope, row_number, skewness, sqrt, stddev_samp, sum, try_divide, var_samp = (  # noqa: A001
+    _function(n) for n in ("abs", "avg", "ceil", "coalesce", "count", "covar_samp", "floor", "isnan", "kurtosis", "lead", "max", "median", "min", "regr_intercept", "regr_slope", "row_number", "skewness", "sqrt", "stddev_samp", "sum", "try_divide", "var_samp")
 )
 when = When
 
@@ -123,3 +123,8 @@ def rows(window: str, start: int | None, end: int) -> str:
         return "CURRENT ROW" if k == 0 else f"{-k} PRECEDING" if k < 0 else f"{k} FOLLOWING"
 
     return f"{window} ROWS BETWEEN {'UNBOUNDED PRECEDING' if start is None else bound(start)} AND {bound(end)}"
+
+
+def whole(window: str) -> str:
+    """All rows of an ordered window, taken in its order."""
+    return f"{window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"

@@ -71,7 +71,8 @@ class Build:
 
     @_once
     def far(self) -> Text:
-        return F.abs(F.col("x") - self.mu())
+        """Distance from the mean; like ``sd`` taken in the series' order, for where the two are equal their last bits decide."""
+        return F.abs(F.col("x") - self.row("order", "center", F.avg("x").over(F.whole(self.ordered))))
 
     @_once
     def some(self) -> Text:
@@ -134,7 +135,8 @@ class Build:
 
     @_once
     def sd(self) -> Text:
-        return self.row("all", "sd", F.stddev_samp("x").over(self.group))
+        """The running formula that SQL engines use, x with itself: stddev_samp rounds in another way."""
+        return self.row("order", "sd", F.sqrt(F.covar_samp("x", "x").over(F.whole(self.ordered))))
 
     @_once
     def mx(self) -> Text:
