@@ -19,6 +19,13 @@ from chronofold.plans.features import FEATURES, NULLABLE, RANKED, Build
 from chronofold.settings import ExtractionSettings, FeatureSetting
 
 
+#: Bytes of input as stored, for each value column, that one task takes: some 400,000 rows, which the sorts widen to 2 KB each.
+#: A task of the whole set costs some seconds for its expressions alone, so much smaller ones are slower.
+SLICE = 4 << 20
+#: A plan's leaf of this size is one of which Spark knows no size.
+UNKNOWN = 1 << 60
+
+
 def extract_features(df: DataFrame, settings: ExtractionSettings, streaming: bool = False, features: dict[str, list[dict]] | None = None) -> DataFrame:
     """Grouping columns, the window's start (if any), ``length`` and the features of ``settings``.
 
@@ -101,6 +108,27 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on, "left").drop(*(f"__k{k}" for k in range(len(keys))))
 
 
+def _tasks(df: DataFrame, columns: int) -> int | None:
+    """A number of tasks that grows with the input, or None where one for each core does: then Spark chooses.
+
+    Left to itself Spark joins partitions until there is one for each core, or 64 MB of narrow rows, however
+    wide the windows make them. Sizes come from the plan's statistics, so nothing runs.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda p: int(str(p.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    sizes = [size(leaves.apply(k)) for k in range(leaves.size())]
+    if any(s >= UNKNOWN for s in sizes):
+        return None
+    # a join's estimate is a product; that of its inputs is nearer
+    tasks = -(-min(size(plan), sum(sizes)) * columns // SLICE)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true":
+        least = min(least, spark.sparkContext.defaultParallelism)
+    return tasks if tasks > least else None
+
+
 def _series(df: DataFrame, keys: list[str], values: list[str], ordering: dict[str, str], partition: list[str], builds: list[Build]) -> DataFrame:
     """One row per group with a struct s0, s1, ... of series aggregates per value column."""
     named = [F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)] + [F.col(f"`{c}`").alias(o) for c, o in ordering.items()]
@@ -111,7 +139,9 @@ def _series(df: DataFrame, keys: list[str], values: list[str], ordering: dict[st
         rows = df.select(*named, F.explode(pairs).alias("__p")).select(*(c for n in (*(f"__k{k}" for k in range(len(keys))), *ordering.values()) for c in [n]), "__p.*")
     rows = rows.where("x is not null")
     # one exchange: every window and the aggregation below are partitioned by the group or finer
-    rows = rows.repartition(*partition) if partition else rows
+    if partition:
+        tasks = _tasks(df, len(values))
+        rows = rows.repartition(tasks, *partition) if tasks else rows.repartition(*partition)
     need = {stage: {} for stage in builds[0].rows}
     made: dict[str, text.Text] = {}
     for b in builds:
